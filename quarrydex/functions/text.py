@@ -83,8 +83,10 @@ def term_grams(term: Column, k: int = GRAM) -> Column:
 
 
 def _pieces(s: str, k: int) -> list[str]:
+    """Distinct ``k``-byte pieces; those that cut a character in two are left out, as no string could stand for them."""
     b = s.encode()
-    return list(dict.fromkeys(b[i : i + k].decode("utf-8", "replace") for i in range(len(b) - k + 1)))
+    pieces = (b[i : i + k].decode("utf-8", "ignore") for i in range(len(b) - k + 1))
+    return list(dict.fromkeys(p for p in pieces if len(p.encode()) == k))
 
 
 def prefix_grams(prefix: str, k: int = GRAM) -> list[str]:
