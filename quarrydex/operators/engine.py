@@ -183,26 +183,25 @@ class KeyValueStore:
 
     def __init__(self, spark: SparkSession, path: str, max_size: int = 1000) -> None:
         self.spark, self.max_size = spark, max_size
-        self.pending: list[tuple[str, bytes | None, int]] = []
+        self.pending: dict[str, tuple[bytes | None, int]] = {}
         self.store = SegmentStore(spark, f"{path}/kv", "key string, value binary, seq bigint")
         self.seq = (self.store.read().agg(F.max("seq")).first()[0] or 0) + 1
 
     def put(self, key: str, value: bytes | None) -> None:
-        self.pending.append((key, value, self.seq))
+        self.pending[key] = (value, self.seq)
         self.seq += 1
-        if len({k for k, _, _ in self.pending}) > self.max_size:
+        if len(self.pending) > self.max_size:
             self.flush()
 
     def flush(self) -> None:
         if self.pending:
-            waiting, self.pending = self.pending, []
-            self.store.append(self.spark.createDataFrame(waiting, self.store.schema))
+            waiting, self.pending = self.pending, {}
+            self.store.append(self.spark.createDataFrame([(k, v, n) for k, (v, n) in waiting.items()], self.store.schema))
 
     def get(self, key: str) -> bytes | None:
         """The newest value; None for a key that is deleted or was never put."""
-        for k, v, _ in reversed(self.pending):
-            if k == key:
-                return v
+        if key in self.pending:
+            return self.pending[key][0]
         row = get_key(self.store.read(), key).first()
         return None if row is None else bytes(row.value)
 

@@ -12,6 +12,11 @@ from quarrydex.plans.compile import by_flags, range_column
 from quarrydex.plans.language import Range, ordered, parse
 
 
+def in_order(result: DataFrame) -> DataFrame:
+    """A result by ascending id, for output."""
+    return result.orderBy("doc_id")
+
+
 def search(query: str, postings: DataFrame) -> DataFrame:
     """Boolean search."""
     return by_flags(parse(query), postings)
