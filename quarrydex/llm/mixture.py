@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrydex.session import ensure_checkpoint_dir
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Patterns that may come to the driver; more are refused, never dropped.
 MAX_PATTERNS = 100_000
@@ -196,6 +198,12 @@ def sized_documents(documents: DataFrame, targets: list[Target], path: str = TOK
     return token_counts(mine, path=path).withColumn("pattern", F.array("source"))
 
 
+def kept(sized: DataFrame) -> DataFrame:
+    """``sized`` written to the shared folder, so that counting and selecting tokenize each text once."""
+    ensure_checkpoint_dir(sized.sparkSession)
+    return sized.checkpoint()
+
+
 def overlapping_documents(documents: DataFrame, targets: list[Target], path: str = TOKENIZER) -> DataFrame:
     """As :func:`sized_documents`, but one row per distinct text, whose pattern is all wanted sources that hold a copy.
 

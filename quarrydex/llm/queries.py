@@ -104,16 +104,17 @@ def p6_template_members(spark: SparkSession, d: str) -> DataFrame:
     return contamination.template_members(_texts(spark, d)[1])
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixture.Target], mixture.Plan]:
+def _mixture(spark: SparkSession, d: str, keep: bool = True) -> tuple[DataFrame, list[mixture.Target], mixture.Plan]:
     targets = mixture.read_targets(table(spark, d, "mix_targets"))
     sized = mixture.sized_documents(table(spark, d, "documents"), targets)
+    sized = mixture.kept(sized) if keep else sized
     patterns = mixture.pattern_sizes(sized)
     return sized, targets, mixture.plan_mixture(patterns, targets, sum(patterns.values()))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that can't reach their share."""
-    return spark.createDataFrame([(s,) for s in mixture.unreachable(_mixture(spark, d)[2])], "source string")
+    return spark.createDataFrame([(s,) for s in mixture.unreachable(_mixture(spark, d, keep=False)[2])], "source string")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p7_overlap_shares(spark: SparkSession, d: str) -> DataFrame:
     """As :func:`p7_shares`, each distinct text counting for any of the sources that hold a copy."""
     targets = mixture.read_targets(table(spark, d, "mix_targets"))
-    sized = mixture.overlapping_documents(table(spark, d, "documents"), targets)
+    sized = mixture.kept(mixture.overlapping_documents(table(spark, d, "documents"), targets))
     patterns = mixture.pattern_sizes(sized)
     plan = mixture.plan_mixture(patterns, targets, sum(patterns.values()))
     return mixture.report_shares(mixture.select_documents(sized, plan), targets)
