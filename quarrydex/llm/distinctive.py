@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrydex.session import shared_dir
+
 #: Pseudo-counts of the collection's distribution in each record.
 MU = 100.0
 
@@ -23,6 +25,13 @@ def record_terms(df: DataFrame, record: str, term: str, place: str) -> DataFrame
     return rows.repartition("record", "term").distinct().groupBy("record", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _kept(pairs: DataFrame) -> DataFrame:
+    """``pairs`` as a table in the shared folder: lengths, term counts, their total and the scores all read it."""
+    path = shared_dir(pairs.sparkSession, "record-terms")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
+
+
 def with_collection(pairs: DataFrame, min_records: int = 1) -> DataFrame:
     """Adds ``records`` (that hold the term) and ``cf`` (occurrences in the collection); terms in fewer than ``min_records`` records go.
 
@@ -41,7 +50,7 @@ def score_terms(df: DataFrame, record: str, term: str, place: str, mu: float = M
     """
     if mu <= 0:
         raise ValueError("mu must be positive")
-    pairs = record_terms(df, record, term, place)
+    pairs = _kept(record_terms(df, record, term, place))
     lengths = pairs.groupBy("record").agg(F.sum("tf").alias("length"))
     total = lengths.agg(F.sum("length").cast("double")).scalar()
     p = F.col("cf") / total
