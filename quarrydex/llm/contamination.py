@@ -180,22 +180,20 @@ def exact_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return d.join(i, ["template", "slots", "words"]).select("doc_id", "item_id").distinct()
 
 
-def template_leaks(documents: DataFrame, items: DataFrame, min_windows: int = 3) -> DataFrame:
-    """Documents that hold a question's template, its slots perhaps filled anew.
+def template_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that hold a question's template, its slots perhaps filled anew; one window is enough.
 
     ``doc_id, template_item, windows, same_words``: ``template_item`` is the smallest item
     with the template window (the representative of all that share it; see :func:`template_members`),
-    ``windows`` the number of template windows of the document with consistent slots,
-    ``same_words`` those that stand in some item word by word.
+    ``windows`` the number of the document's windows with that representative and consistent slots,
+    ``same_words`` those that stand in some item word by word. The windows of one passage
+    may have different representatives and give a row for each, so no row is dropped for a small count.
     """
     d, i = template_hits(documents, items)
     rep = i.groupBy("template", "shape").agg(F.min("id").alias("template_item"))
     exact = i.select("template", "slots", F.lit(1).alias("same")).distinct()
     hits = d.select(F.col("id").alias("doc_id"), "pos", "template", "shape", "slots").distinct().join(rep, ["template", "shape"]).join(exact, ["template", "slots"], "left")
-    return (
-        hits.groupBy("doc_id", "template_item").agg(F.count(F.lit(1)).alias("windows"), F.count("same").alias("same_words"))
-        .where(F.col("windows") >= min_windows)
-    )
+    return hits.groupBy("doc_id", "template_item").agg(F.count(F.lit(1)).alias("windows"), F.count("same").alias("same_words"))
 
 
 def template_members(items: DataFrame) -> DataFrame:

@@ -82,6 +82,17 @@ def test_templates(spark):
     assert leaks(spark, [(1, again)], items) == set()
 
 
+def test_short_and_split_passages_are_templates(spark):
+    """Passages of one or two windows, and one whose windows have three representatives."""
+    a, b, c = (" ".join(w) for w in ("when does the".split(), "cache drop its oldest block and keep the newest".split(), "one after a restart".split()))
+    items = [(1, f"{a} {b}"), (2, f"does the {b} one"), (3, f"the {b} one after"), (4, f"{a} {b} {c}")] + [(10 + i, f"{c} {b} {a}") for i in range(5)]
+    docs = [(1, f"{a} {b}"), (2, f"so {a} {b} now"), (3, f"{a} {b} {c}"), (4, " ".join(f"{a} {b}".split()[1:]))]
+    rows = template_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in rows} == {d for d, _ in leaks(spark, docs, items)} == {1, 2, 3}
+    assert {(r.template_item, r.windows, r.same_words) for r in rows if r.doc_id == 1} == {(1, 1, 1)}
+    assert {(r.template_item, r.windows) for r in rows if r.doc_id == 3} == {(1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_slots_and_empty(spark):
     assert shape_of(["a", "b", "a"]) == "0 1 0" and shape_of([]) == ""
     assert words_of("Ab­C <i>d</i>_e ﬁne ２") == ["abc", "d", "e", "fine", "2"]
