@@ -10,6 +10,8 @@ Each micro-batch emits those probes that were first; all other probes are repeat
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from quarrydex.session import shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Memory that RocksDB may take in an executor, for all its state partitions together.
 STATE_MEMORY_MB = 256
+#: Keys and bytes of filters that meet in a task of the filter audit.
+MAX_KEYS, MAX_BYTES = 1_000_000, 32_000_000
 #: Order of a probe without id: after all others.
 LAST = 2**63 - 1
 
@@ -106,44 +110,82 @@ def wrong_answers(marked: DataFrame, truth: DataFrame) -> DataFrame:
     ).withColumn("wrong_rate", F.try_divide(F.col("false_repeats") + F.col("false_firsts"), "probes"))
 
 
-def audit_filters(filters: DataFrame, own: DataFrame, probes: DataFrame, segments_per_probe: int = 4) -> DataFrame:
+def _put_to_all(keys: pa.Table, filters: pa.Table) -> pa.Table:
+    """``segment_id, asked, maybe``: how many of the hashed ``keys`` each filter was asked and did not deny."""
+    first, second = (keys[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    rows = [r for b in filters.to_batches() for r in zip(b["segment_id"].to_pylist(), b["m_bits"].to_pylist(), b["bits"])]
+    maybe, at = [], None
+    rows.sort(key=lambda r: r[1] or 0)  # filters of equal size share their places
+    for _, m, bits in rows:
+        if not len(keys) or not m or m < 0 or not bits.is_valid:
+            maybe.append(len(keys))
+            continue
+        if m != at:
+            at, i, j = m, (first % np.uint64(m)).view(np.int64), (second % np.uint64(m)).view(np.int64)
+        words = bits.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        # Places behind the last word are clipped to a bit that is set.
+        table = np.append(np.unpackbits(words.view(np.uint8), bitorder="little"), np.uint8(1))
+        hits = np.flatnonzero(table.take(i, mode="clip"))
+        maybe.append(int(np.count_nonzero(table.take(j.take(hits), mode="clip"))))
+    return pa.table({"segment_id": pa.array([r[0] for r in rows], filters.schema.field("segment_id").type), "asked": pa.array([len(keys)] * len(rows), pa.int64()), "maybe": pa.array(maybe, pa.int64())})
+
+
+def ask_filters(filters: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``segment_id, asked, maybe``: every key of ``hashed`` (``h``) put to every filter (``segment_id, m_bits, bits``).
+
+    Keys are cut into blocks of about MAX_KEYS and filters into groups of about MAX_BYTES by
+    hash; each block meets each group in one task, and only counts per segment leave it.
+    """
+    spark = filters.sparkSession
+    n_bytes = filters.agg(F.coalesce(F.sum(F.size("bits").cast("bigint") * 8), F.lit(0))).first()[0]
+    n_keys = hashed.count()
+    groups = max(1, -(-n_bytes // MAX_BYTES))
+    blocks = max(1, -(-n_keys // MAX_KEYS), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    k = hashed.select(F.col("h")[0].alias("h1"), F.col("h")[1].alias("h2"), F.pmod(F.col("h")[1], F.lit(blocks)).alias("block"), each(groups).alias("group"))
+    f = filters.select("segment_id", "m_bits", "bits", F.pmod(F.xxhash64("segment_id"), F.lit(groups)).alias("group"), each(blocks).alias("block"))
+    cell = (F.col("group") * blocks + F.col("block")).alias("cell")
+    schema = f"segment_id {filters.schema['segment_id'].dataType.simpleString()}, asked bigint, maybe bigint"
+    counts = k.select(cell, "h1", "h2").groupBy("cell").cogroup(f.select(cell, "segment_id", "m_bits", "bits").groupBy("cell")).applyInArrow(_put_to_all, schema)
+    return counts.groupBy("segment_id").agg(F.sum("asked").alias("asked"), F.sum("maybe").alias("maybe"))
+
+
+def audit_filters(filters: DataFrame, own: DataFrame, probes: DataFrame) -> DataFrame:
     """How often the stored per-segment Bloom filters answer wrongly.
 
     Every key of a segment must be answered "maybe"; a "no" is counted as ``false_no`` (the
-    filter is behind its segment). Each distinct probe key is put to ``segments_per_probe``
-    segments chosen by hash; a "maybe" for a key that isn't in the segment counts as
+    filter is behind its segment). Each distinct probe key is put to every filter; those that
+    aren't in the segment are its ``strangers``, and a "maybe" for one of them counts as
     ``false_maybe``. Filters without bits, and words that are missing, answer "maybe".
-    Segments are identified by ``segment_id``; equal ids are one segment. The bits are joined as single words,
-    never as whole filters per key.
+    Segments are identified by ``segment_id``; equal ids are one segment, and each that has a
+    filter gives a row. For a segment's own keys the bits are joined as single words,
+    never as whole filters per key; strangers are counted by :func:`ask_filters`.
     """
     f = filters.where(F.col("segment_id").isNotNull()).dropDuplicates(["segment_id"])
     numbered = f.select("segment_id", "m_bits")
-    top = f.agg(F.max("segment_id")).scalar()
     k = probes.where(F.col("key").isNotNull()).select("key").distinct()
-    # An id that no segment has is no test.
-    asked = (
-        k.select("key", F.explode(F.sequence(F.lit(1), F.lit(segments_per_probe))).alias("turn"))
-        .select(F.pmod(F.xxhash64("key", "turn"), top + 1).cast("int").alias("segment_id"), "key", F.lit(0).alias("own"))
-        .join(numbered.select("segment_id"), "segment_id", "left_semi")
-    )
-    held = own.where(F.col("key").isNotNull() & F.col("segment_id").isNotNull()).select("segment_id", "key", F.lit(1).alias("own"))
-    tests = asked.unionAll(held).groupBy("segment_id", "key").agg(F.max("own").alias("own"))
-    hashes = tests.select("key").distinct().select("key", bloom_hashes("key").alias("h"))
+    held = own.where(F.col("key").isNotNull() & F.col("segment_id").isNotNull()).select("segment_id", "key").distinct()
+    keys = held.select("key", F.lit(0).alias("probed")).unionAll(k.select("key", F.lit(1))).groupBy("key").agg(F.max("probed").alias("probed"))
     bits = (
-        tests.join(hashes, "key").join(numbered, "segment_id")
-        .select("segment_id", "key", "own", F.explode(F.transform("h", lambda h: unsigned_mod(h, F.col("m_bits")))).alias("bit"))
+        held.join(keys.select("key", "probed", bloom_hashes("key").alias("h")), "key").join(numbered, "segment_id")
+        .select("segment_id", "key", "probed", F.explode(F.transform("h", lambda h: unsigned_mod(h, F.col("m_bits")))).alias("bit"))
         .withColumn("word_at", (F.col("bit") / 64).cast("int"))
     )
     words = f.select("segment_id", F.posexplode("bits").alias("word_at", "word"))
     one = F.when(F.col("word").isNull(), 1).otherwise(F.getbit(F.col("word"), (F.col("bit") % 64).cast("int")).cast("int"))
-    answers = bits.join(words, ["segment_id", "word_at"], "left").groupBy("segment_id", "key", "own").agg(F.min(one).alias("maybe"))
+    answers = bits.join(words, ["segment_id", "word_at"], "left").groupBy("segment_id", "key", "probed").agg(F.min(one).alias("maybe"))
     count = lambda c: F.count(F.when(c, 1))
-    return answers.groupBy("segment_id").agg(
-        count(F.col("own") == 1).alias("own_keys"),
-        count((F.col("own") == 1) & (F.col("maybe") == 0)).alias("false_no"),
-        count(F.col("own") == 0).alias("strangers"),
-        count((F.col("own") == 0) & (F.col("maybe") == 1)).alias("false_maybe"),
+    inside = answers.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("own_keys"),
+        count(F.col("maybe") == 0).alias("false_no"),
+        count(F.col("probed") == 1).alias("own_asked"),
+        count((F.col("probed") == 1) & (F.col("maybe") == 1)).alias("own_maybe"),
     )
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return ask_filters(f, k.select(bloom_hashes("key").alias("h"))).join(inside, "segment_id", "left").select(
+        "segment_id", n("own_keys").alias("own_keys"), n("false_no").alias("false_no"),
+        (F.col("asked") - n("own_asked")).alias("strangers"), (F.col("maybe") - n("own_maybe")).alias("false_maybe"),
+    )
 
 
 def run_stream(spark: SparkSession, history: DataFrame, probes: DataFrame) -> DataFrame:

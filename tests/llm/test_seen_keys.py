@@ -105,3 +105,31 @@ def test_filter_audit(spark):
     assert set(got) == {0, 1, 2, 3} and all(r.own_keys == 200 for r in got.values())
     assert got[0].false_no == got[1].false_no == got[3].false_no == 0 and 60 < got[2].false_no <= 100
     assert 0.01 < got[0].false_maybe / got[0].strangers < 0.07 and got[1].false_maybe == got[1].strangers
+
+
+def test_filter_audit_asks_every_filter(spark, monkeypatch):
+    """Against brute force over all pairs, with ids far apart, probes that segments hold, and several groups and blocks."""
+    r = random.Random(5)
+    own = {s: [f"k{r.randrange(400)}" for _ in range(30)] for s in (3, 1000, 2_000_000, 2_000_001)}
+    probes = [f"k{r.randrange(600)}" for _ in range(300)]
+    filters, maybe = [], {}
+    for s, ks in own.items():
+        m = filter_bits(len(ks)) + 10 * (s % 2)
+        on = {h % m for k in ks[: 20 if s == 1000 else None] for h in reference_hash(k)}
+        words = [sum(1 << b for b in range(64) if w * 64 + b in on) for w in range((m + 63) // 64)]
+        filters.append((s, m, [w - 2**64 if w >= 2**63 else w for w in words]))
+        maybe[s] = lambda k, m=m, on=on: all(h % m in on for h in reference_hash(k))
+    filters.append((9, 64, [0]))
+    maybe[9], own[9] = lambda k: False, []
+    want = {
+        (s, len(set(ks)), sum(not maybe[s](k) for k in set(ks)), len(set(probes) - set(ks)), sum(maybe[s](k) for k in set(probes) - set(ks)))
+        for s, ks in own.items()
+    }
+    f = spark.createDataFrame(filters, "segment_id int, m_bits bigint, bits array<bigint>")
+    o = spark.createDataFrame([(s, k) for s, ks in own.items() for k in ks], "segment_id int, key string")
+    p = spark.createDataFrame([(k,) for k in probes], "key string")
+    assert {tuple(x) for x in seen_keys.audit_filters(f, o, p).collect()} == want
+    monkeypatch.setattr(seen_keys, "MAX_KEYS", 50)
+    monkeypatch.setattr(seen_keys, "MAX_BYTES", 100)
+    assert {tuple(x) for x in seen_keys.audit_filters(f, o, p).collect()} == want
+    assert {x.strangers for x in seen_keys.audit_filters(f, o, p.where("false")).collect()} == {0}
