@@ -11,7 +11,8 @@ affixes and lexicon, fitted on a bounded sample of documents (``SAMPLE`` texts,
 the smallest hashes of their ids). Its labels come from the lexicon: a given
 name next to a family name is a person, a common word outside of any name is not, and what
 is neither is left out. Each example is also used without its lexicon features, so that
-context alone must do for names that the lexicon lacks. All else covers every document and the whole of its text.
+context alone must do for names that the lexicon lacks. All else covers every document and the whole of its text:
+also the counts that say which words are common, plain or names that the lexicon lacks.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import pii_patterns as P
+from quarrydex.session import shared_dir
 
 #: Texts the model is fitted on, and lexicon words it may hold.
 SAMPLE, MAX_LEXICON = 8_000, 200_000
+#: Words of the corpus that the model may hold; what is counted of each.
+MAX_WORDS, COUNTS = 1_000_000, ("n", "lower", "before", "after", "beside")
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 #: Log-potentials in favour of equal labels along the chain, between repeated words and between repeated numbers or addresses; rounds and damping of message passing.
@@ -44,7 +48,7 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 @dataclass
 class Model:
-    """The fitted name model: feature weights, the lexicon with what the sample adds to it, and common words."""
+    """The fitted name model: feature weights, the lexicon with what the corpus adds to it, and common words."""
 
     weights: dict[str, float] = field(default_factory=dict)
     given: frozenset[str] = frozenset()
@@ -163,19 +167,25 @@ def _mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(parts) + text[at:] if parts else text
 
 
-def learn(texts: list[str], lexicon: list[tuple[str, str]], rounds: int = 60) -> Model:
-    """Fits the name model on ``texts``; deterministic."""
-    given = {w.lower() for w, k in lexicon if k == "given"}
-    family = {w.lower() for w, k in lexicon if k == "family"}
-    count, lower = Counter(), Counter()
-    before_family, after_given, beside = Counter(), Counter(), Counter()
-    masked = [_mask(text, [m.span() for m in P.EMAIL.finditer(text)]) for text in texts]
-    for text in masked:
+def count_words(texts: list[str], given: set[str], family: set[str], into: dict[tuple[str, str], list[int]] | None = None) -> dict[tuple[str, str], list[int]]:
+    """What :func:`learn` has to know of the whole corpus; counts of parts add up.
+
+    ``(word, "")`` has how often the word stands at all, in lower case, before a family name and
+    behind a given name; ``(word, family name)`` how often it stands before that one; ``("", "")`` the texts.
+    """
+    out = defaultdict(lambda: [0] * 5) if into is None else into
+    for text in texts:
+        text = _mask(text, [m.span() for m in P.EMAIL.finditer(text)])
         t = ["^", "^", "^", *TOKEN.findall(text), "$", "$", "$", "$"]
         lows = [x.lower() for x in t]
-        count.update(w for w in lows if w.isalpha())
+        out["", ""][0] += 1
+        for w, n in Counter(lows).items():
+            if w.isalpha():
+                out[w, ""][0] += n
         if not (text.islower() or text.isupper()):
-            lower.update(x for x in t if x.islower() and x.isalpha())
+            for x, n in Counter(t).items():
+                if x.islower() and x.isalpha():
+                    out[x, ""][1] += n
         followed: dict[int, str] = {}  # places of words in front of a family name, or behind one and a comma
         behind: set[int] = set()  # places of words behind a given name or an initial, or in front of a comma and a given name
         for j, w in enumerate(lows):
@@ -197,21 +207,68 @@ def learn(texts: list[str], lexicon: list[tuple[str, str]], rounds: int = 60) ->
                 behind.add(j + 1)
         for j, w in followed.items():
             if lows[j].isalpha():
-                before_family[lows[j]] += 1
-                beside[lows[j], w] += 1
-        after_given.update(lows[j] for j in behind if lows[j].isalpha())
-    # Lexicon words that mostly stand where no name can be made out are plain words too.
-    plain = frozenset(w for w in given | family if count[w] >= 10 and (before_family[w] if w in given else 0) + (after_given[w] if w in family else 0) < 0.25 * count[w])
-    titled = lambda w: lower[w] <= 0.5 * count[w] and len(w) > 2 and w not in P.TITLES and w not in P.PARTICLES
-    # Words the lexicon lacks that stand before sure family names are given names, and the other way round.
+                out[lows[j], ""][2] += 1
+                out[lows[j], w][4] += 1
+        for j in behind:
+            if lows[j].isalpha():
+                out[lows[j], ""][3] += 1
+    return out
+
+
+def at_least(n: int, texts: int) -> float:
+    """How often a word stands in ``texts`` texts that is as frequent as ``n`` times in SAMPLE, and ``n`` times at least."""
+    return max(n, n * texts / SAMPLE)
+
+
+def plain_words(counts: dict[str, tuple], given: set[str], family: set[str], texts: int) -> frozenset[str]:
+    """Lexicon words that mostly stand where no name can be made out are plain words too."""
+    least = at_least(10, texts)
+    return frozenset(w for w, (n, _, before, after) in counts.items() if n >= least and (before if w in given else 0) + (after if w in family else 0) < 0.25 * n)
+
+
+def lexicon_sets(lexicon: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
+    return {w.lower() for w, k in lexicon if k == "given"}, {w.lower() for w, k in lexicon if k == "family"}
+
+
+@dataclass
+class Corpus:
+    """Number of texts, plain words, and per word: occurrences, those in lower case, before a family name, behind a given name, before a family name that isn't plain."""
+
+    texts: int
+    plain: frozenset[str]
+    words: dict[str, tuple[int, int, int, int, int]]
+
+
+def corpus_of(texts: list[str], given: set[str], family: set[str]) -> Corpus:
+    counts = count_words(texts, given, family)
+    total = counts.pop(("", ""), [0])[0]
+    plain = plain_words({w: counts[w, ""][:4] for w in given | family if (w, "") in counts}, given, family, total)
     sure = Counter()
-    for (w, f), n in beside.items():
-        if f not in plain:
-            sure[w] += n
-    given |= {w for w, n in sure.items() if n >= 2 and n >= 0.34 * count[w] and titled(w) and w not in family}
-    family |= {w for w, n in after_given.items() if n >= 2 and n >= 0.5 * count[w] and titled(w) and w not in given and any(w[-4:] == f[-4:] for f in family)}
-    related = before_family + after_given
-    common = frozenset(w for w, n in count.items() if n >= 4 and w not in given and w not in family and (related[w] < 0.2 * n or lower[w] > 0.8 * n) and len(w) > 1)
+    for (w, f), n in counts.items():
+        if f and f not in plain:
+            sure[w] += n[4]
+    return Corpus(total, plain, {w: (*n[:4], sure[w]) for (w, f), n in counts.items() if not f})
+
+
+def learn(texts: list[str], lexicon: list[tuple[str, str]], rounds: int = 60, corpus: Corpus | None = None) -> Model:
+    """Fits the name model's weights on ``texts``, with the word counts of the whole ``corpus`` (else of ``texts``); deterministic.
+
+    How frequent a word must be to count as common or plain is a rate, alike at every size.
+    Names that the lexicon lacks are told by the share of a word's places that are a name's, given two such places.
+    """
+    given, family = lexicon_sets(lexicon)
+    corpus = corpus or corpus_of(texts, given, family)
+    masked = [_mask(text, [m.span() for m in P.EMAIL.finditer(text)]) for text in texts]
+    plain, words = corpus.plain, sorted(corpus.words.items())
+    titled = lambda w, n, lower: lower <= 0.5 * n and len(w) > 2 and w not in P.TITLES and w not in P.PARTICLES
+    # Words the lexicon lacks that stand before sure family names are given names, and the other way round.
+    given |= {w for w, (n, lower, _, _, sure) in words if sure >= 2 and sure >= 0.34 * n and titled(w, n, lower) and w not in family}
+    endings = {f[-4:] for f in family}
+    family |= {w for w, (n, lower, _, after, _) in words if after >= 2 and after >= 0.5 * n and titled(w, n, lower) and w not in given and w[-4:] in endings}
+    least = at_least(4, corpus.texts)
+    common = frozenset(
+        w for w, (n, lower, before, after, _) in words if n >= least and w not in given and w not in family and (before + after < 0.2 * n or lower > 0.8 * n) and len(w) > 1
+    )
     begin, end = Counter(w[:i] for w in family for i in range(4, len(w) - 1)), Counter(w[i:] for w in family for i in range(4, len(w) - 1))
     often = lambda c: frozenset(x for x, n in c.items() if n >= 3)
     model = Model({}, frozenset(given), frozenset(family), common, plain, often(begin), often(end))
@@ -554,9 +611,48 @@ def fit_model(documents: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) ->
     words = lexicon.select("name_word", "name_kind").where("name_word IS NOT NULL AND name_kind IS NOT NULL").distinct().limit(MAX_LEXICON + 1).collect()
     if len(words) > MAX_LEXICON:
         raise ValueError(f"more than {MAX_LEXICON} names")
+    lexicon_words = [(r.name_word, r.name_kind) for r in words]
     some = documents.select("doc_id", "text").where(F.length("text") > 0)
     texts = [r.text for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
-    return learn(texts, [(r.name_word, r.name_kind) for r in words])
+    return learn(texts, lexicon_words, corpus=count_corpus(some, *lexicon_sets(lexicon_words)))
+
+
+def count_corpus(documents: DataFrame, given: set[str], family: set[str]) -> Corpus:
+    """:func:`corpus_of` for all texts of a table; words that can't change the model stay in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            keys, values = zip(*out.items())
+            columns = [pa.array(c, pa.string()) for c in zip(*keys)] + [pa.array(c, pa.int64()) for c in zip(*values)]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "family", *COUNTS])
+
+        out = count_words([], given, family)
+        for b in batches:
+            count_words([t for t in b.column(0).to_pylist() if t], given, family, out)
+            if len(out) > 200_000:
+                yield rows()
+                out.clear()
+        if out:
+            yield rows()
+
+    spark = documents.sparkSession
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    parts = documents.select("text").mapInArrow(run, "word string, family string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    path = shared_dir(spark, "name-counts")
+    parts.groupBy("word", "family").agg(*sums).write.parquet(path)
+    counts = spark.read.parquet(path)
+    total = counts.where("word = ''").select("n").first()
+    texts = total.n if total else 0
+    known = spark.createDataFrame([(w,) for w in sorted(given | family)], "word string")
+    plain = plain_words({r.word: (r.n, r.lower, r.before, r.after) for r in counts.where("family = ''").join(known, "word").collect()}, given, family, texts)
+    sure = counts.where("word != ''").join(spark.createDataFrame([(w,) for w in sorted(plain)], "family string"), "family", "left_anti")
+    kept = sure.groupBy("word").agg(*sums).where(
+        (F.col("n") >= at_least(4, texts))
+        | (F.col("lower") <= 0.5 * F.col("n")) & ((F.col("beside") >= 2) & (F.col("beside") >= 0.34 * F.col("n")) | (F.col("after") >= 2) & (F.col("after") >= 0.5 * F.col("n")))
+    ).limit(MAX_WORDS + 1).toArrow().to_pylist()
+    if len(kept) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words that are frequent or may be names")
+    return Corpus(texts, plain, {r["word"]: tuple(r[c] for c in COUNTS) for r in kept})
 
 
 def find_personal(documents: DataFrame, model: Model) -> DataFrame:

@@ -143,3 +143,17 @@ def test_fit_on_a_table(spark):
     assert m == pii.fit_model(docs.repartition(5), lexicon, sample=200)
     empty = pii.fit_model(docs.where("false"), lexicon.where("false"))
     assert pii.find_all("ask Jonas, a@b.org", empty) == [(11, 18, "email")]
+
+
+def test_counts_cover_all_documents(spark):
+    """What the lexicon lacks and what is common is counted over all documents, not over the sample."""
+    own = [t for t, _ in texts(4, 300, GIVEN[:8], FAMILY)] + [t for t, _ in texts(5, 40, GIVEN[8:], FAMILY)]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string")
+    lexicon = [(g, "given") for g in GIVEN[:8]] + [(f, "family") for f in FAMILY]
+    m = pii.fit_model(docs.repartition(4), spark.createDataFrame(lexicon, "name_word string, name_kind string"), sample=5)
+    assert {g.lower() for g in GIVEN} <= m.given
+    given, family = pii.lexicon_sets(lexicon)
+    whole = pii.learn(own, lexicon)
+    assert (m.given, m.family, m.common, m.plain) == (whole.given, whole.family, whole.common, whole.plain) and len(m.common) > 50
+    assert pii.count_corpus(docs, given, family).texts == len(own)
+    assert pii.at_least(4, 1000) == 4 and pii.at_least(4, 80_000) == 40
