@@ -139,7 +139,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_words(items: DataFrame, min_items: int = MIN_ITEMS) -> frozenset[str]:
-    """Words of at least ``min_items`` items; the number is doubled until at most MAX_WORDS are left (more words are names then, no leak is lost)."""
+    """Words of at least ``min_items`` items; the number is doubled until at most MAX_WORDS are left (more words are names then: no exact leak is lost, but templates, shapes and what :func:`template_leaks` finds change)."""
     counts = items.mapInArrow(_split, "id bigint, word string").distinct().groupBy("word").count()
     while True:
         found = counts.where(F.col("count") >= min_items).limit(MAX_WORDS + 1).collect()
