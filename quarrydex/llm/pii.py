@@ -436,6 +436,35 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
+def _linked(w: str, model: Model) -> bool:
+    """Whether mentions of a word have skip edges."""
+    return len(w) > 2 and w not in model.plain
+
+
+def _near_pairs(words: set[str]) -> list[tuple[str, str]]:
+    """Pairs of names one letter apart; they share a half."""
+    out, by_half = [], defaultdict(list)
+    for w in sorted(words):
+        if len(w) >= 6:
+            halves = {w[: len(w) // 2], w[len(w) // 2 :], w[: (len(w) - 1) // 2], w[(len(w) + 1) // 2 :]}
+            out += [(other, w) for other in sorted({x for h in halves for x in by_half[h] if _near(w, x)})]
+            for h in halves:
+                by_half[h].append(w)
+    return out
+
+
+def _strengths(candidates: dict[int, float], near: list[tuple[str, str]], toks: list, lows: list[str], model: Model) -> dict[int, float]:
+    """For candidates of low score: the most that all edges they can have add up to, which bounds their messages."""
+    order = sorted(candidates)
+    times, close = Counter(lows[i] for i in order), Counter(w for pair in near for w in pair)
+    out = {}
+    for k, i in enumerate(order):
+        if candidates[i] < -6.0:
+            chain = sum(_joined(*pair, toks, lows) for pair in (order[max(k - 1, 0) : k + 1], order[k : k + 2]) if len(pair) == 2)
+            out[i] = CHAIN * chain + (SKIP * (min(times[lows[i]] - 1, 2) + close[lows[i]]) if _linked(lows[i], model) else 0.0)
+    return out
+
+
 def find_all(text: str, model: Model) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of everything found, in order, without overlaps."""
     found: list[tuple[int, int, str]] = [(*m.span(), "email") for m in P.EMAIL.finditer(text)] if "@" in text or "＠" in text or P.SPELLED.search(text) else []
@@ -481,6 +510,7 @@ def find_all(text: str, model: Model) -> list[tuple[int, int, str]]:
     rare = any(w not in model.ordinary for w in set(WORDS.findall(rest.lower())))
     toks, lows, kinds, shapes = prepare(rest, model) if rare else ([], [], [], [])
     node_of: dict[int, int] = {}
+    candidates: dict[int, float] = {}
     scores: list[float] = []
     get = model.weights.get
     for i, w in enumerate(lows):
@@ -490,10 +520,13 @@ def find_all(text: str, model: Model) -> list[tuple[int, int, str]]:
             continue
         c, x = features(i, toks, lows, kinds, shapes, model)
         score = sum(get(f, 0.0) for f in c) + sum(get(f, 0.0) for f in x)
-        if score < -6.0:  # no neighbour could turn it
-            continue
-        node_of[i] = len(scores)
-        scores.append(score)
+        candidates[i] = score
+    near = _near_pairs({lows[i] for i in candidates if _linked(lows[i], model)})
+    bound = _strengths(candidates, near, toks, lows, model)
+    for i, score in candidates.items():
+        if score >= -max(6.0, bound.get(i, 0.0)):  # else its neighbours together couldn't turn it
+            node_of[i] = len(scores)
+            scores.append(score)
     if not spans and not scores:
         return sorted(found)
     last: dict[str, int] = {}
@@ -510,18 +543,11 @@ def find_all(text: str, model: Model) -> list[tuple[int, int, str]]:
     last = {}
     for i in order:
         w = lows[i]
-        if len(w) > 2 and w not in model.plain:
+        if _linked(w, model):
             if w in last:
                 edges.append((last[w], node_of[i], SKIP))
             last[w] = node_of[i]
-    by_half: dict[str, list[str]] = defaultdict(list)
-    for w in sorted(last):  # names one letter apart share a half
-        if len(w) >= 6:
-            halves = {w[: len(w) // 2], w[len(w) // 2 :], w[: (len(w) - 1) // 2], w[(len(w) + 1) // 2 :]}
-            for other in sorted({x for h in halves for x in by_half[h] if _near(w, x)}):
-                edges.append((last[other], last[w], SKIP))
-            for h in halves:
-                by_half[h].append(w)
+    edges += [(last[other], last[w], SKIP) for other, w in near if other in last and w in last]
     likely = name_marginals(np.array(scores), edges)
     person = {i for i, v in node_of.items() if likely[v] > 0.5}
     found += [(a, b, "person") for a, b in _names(person, toks, lows, kinds, shapes)]

@@ -157,3 +157,13 @@ def test_counts_cover_all_documents(spark):
     assert (m.given, m.family, m.common, m.plain) == (whole.given, whole.family, whole.common, whole.plain) and len(m.common) > 50
     assert pii.count_corpus(docs, given, family).texts == len(own)
     assert pii.at_least(4, 1000) == 4 and pii.at_least(4, 80_000) == 40
+
+
+def test_neighbours_turn_a_low_score():
+    """Four likely neighbours outweigh a context that speaks against the middle mention."""
+    weights = {"pre=zorb": -6.5, "r1=wrote": 14.5, "pre=anna": 8.0, "pre=bran": 8.0}
+    text = "Zorbel wrote? Anna Zorbel Brandt? Zorbel wrote"
+    m = pii.Model(weights, common=frozenset({"wrote"}))
+    at = text.index("Zorbel Brandt")
+    assert any(a <= at < b for a, b, _ in pii.find_all(text, m))
+    assert pii.find_all("Anna Zorbel", m) == [(0, 4, "person")]
