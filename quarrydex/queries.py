@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quarrydex.functions.text import raw_words
 from quarrydex.operators import bitmaps, index, kv, search
+from quarrydex.operators.engine import BooleanIndex, DatedIndex, GramIndex, KeyValueStore, PositionalIndex, UnionStore
 from quarrydex.plans.compile import by_scan, by_sets
 from quarrydex.plans.language import parse
 from quarrydex.session import shared_dir
-from quarrydex.sources.segments import SegmentStore
 from quarrydex.sources.tables import table
 from quarrydex.streaming.files import stream_table
 from quarrydex.streaming.ingest import ingest
@@ -272,25 +272,152 @@ def kv_events(spark: SparkSession, d: str) -> DataFrame:
     return states.select("user_id", F.col("event_type").alias("last_event"), "seq")
 
 
-# --- segments and streams
+# --- index objects, segments and streams: answers after flushes, compactions and reopening
+
+_OLD = dt.datetime(2018, 1, 1)
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus by arrival: what came before a day, and the rest. ``version`` orders repeated records."""
+    corpus = table(spark, d, "corpus").withColumn("version", F.col("added_at"))
+    old = F.coalesce(F.col("added_at") < F.lit(_OLD), F.lit(False))
+    return corpus.where(old), corpus.where(~old)
+
+
+def _in_two(cls, spark: SparkSession, d: str, compact: bool = True):
+    """An index object filled in two batches, compacted, and opened again."""
+    path = shared_dir(spark, "index")
+    first = cls(spark, path)
+    for half in _halves(spark, d):
+        first.add_table(half)
+    if compact:
+        first.compact()
+    return cls(spark, path)
 
 
 @query(ORACLE["postings_build"])
 def append_and_compact(spark: SparkSession, d: str) -> DataFrame:
     """The boolean index appended in two batches by arrival and compacted."""
-    corpus = table(spark, d, "corpus")
-    store = SegmentStore(spark, shared_dir(spark, "segments"), "term string, doc_id bigint")
-    old = F.coalesce(F.col("added_at") < F.lit(dt.datetime(2018, 1, 1)), F.lit(False))
-    store.append(index.build_postings(corpus.where(old)))
-    store.append(index.build_postings(corpus.where(~old)))
-    store.compact(lambda rows: rows.groupBy("term", "doc_id").agg(F.max("batch_id").alias("batch_id")), ["term", "doc_id"])
-    return store.read().select("term", "doc_id")
+    return _in_two(BooleanIndex, spark, d).postings()
+
+
+@query(ORACLE["bool_nested"])
+def boolean_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nested query through the index object, after compaction and reopening."""
+    return _in_two(BooleanIndex, spark, d).search(NESTED)
+
+
+@query(ORACLE["bool_and"])
+def boolean_index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """A boolean query over two segments that were not compacted."""
+    return _in_two(BooleanIndex, spark, d, compact=False).search("run AND log")
+
+
+@query(_like("%aki%o%"))
+def gram_index_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    """A wildcard through the stored k-grams of the index object."""
+    return _in_two(GramIndex, spark, d).search_wildcard("*aki*o*")
+
+
+@query(_like("snap%"))
+def gram_index_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """A prefix through the index object."""
+    return _in_two(GramIndex, spark, d, compact=False).search_prefix("Snap")
+
+
+# Of a record in both halves the later half's dates count, of one half the newest.
+_DATES2 = f"""ranked2 AS (SELECT doc_id, valid_start, valid_end, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(added_at < TIMESTAMP '2018-01-01', false), added_at DESC NULLS LAST, valid_start DESC NULLS LAST, valid_end DESC NULLS LAST) AS i FROM corpus WHERE {_IDS}),
+dates AS (SELECT doc_id, valid_start, valid_end FROM ranked2 WHERE i = 1)"""
+_MIXED = f"SELECT doc_id FROM dates WHERE {_VALID} AND doc_id IN {_HAS.format('bloom')}"
+
+
+@query(f"WITH {_DATES2} {_MIXED}")
+def dated_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query with days through the index object, after compaction and reopening."""
+    return _in_two(DatedIndex, spark, d).search("bloom AND VALID[2016-01-01,2018-06-30]")
+
+
+@query(f"WITH {_DATES2} {_MIXED}")
+def dated_index_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The same over segments that were not compacted."""
+    return _in_two(DatedIndex, spark, d, compact=False).search("bloom AND VALID[2016-01-01,2018-06-30]")
+
+
+@query(ORACLE["phrase_two"])
+def positional_index_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase through the index object, after compaction and reopening."""
+    path = shared_dir(spark, "index")
+    PositionalIndex(spark, path).add_table(table(spark, d, "corpus").withColumn("version", F.col("added_at")))
+    PositionalIndex(spark, path).compact()
+    return PositionalIndex(spark, path).search_phrase("slot prefix")
 
 
 @query(ORACLE["postings_build"])
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The boolean index built by a stream over the corpus files."""
     base = shared_dir(spark, "ingest")
-    store = SegmentStore(spark, f"{base}/segments", "term string, doc_id bigint")
-    ingest(stream_table(spark, d, "corpus", CORPUS, max_files=8), store, f"{base}/checkpoint").awaitTermination()
-    return store.read().select("term", "doc_id").distinct()
+    target = BooleanIndex(spark, f"{base}/index")
+    ingest(stream_table(spark, d, "corpus", CORPUS, max_files=8), target, f"{base}/checkpoint").awaitTermination()
+    return target.postings()
+
+
+@query("SELECT DISTINCT term, doc_id FROM postings WHERE term IS NOT NULL UNION SELECT 'quarri', 4294967295")
+def ingest_into_filled_store(spark: SparkSession, d: str) -> DataFrame:
+    """A stream into an index that holds rows, is compacted, and is streamed into again."""
+    base = shared_dir(spark, "ingest")
+    target = BooleanIndex(spark, f"{base}/index")
+    target.add_document(2**32 - 1, "quarries")
+    target.add_table(_halves(spark, d)[0])
+    corpus = stream_table(spark, d, "corpus", CORPUS, max_files=8)
+    ingest(corpus, target, f"{base}/checkpoint").awaitTermination()
+    target.compact()
+    ingest(corpus, target, f"{base}/checkpoint").awaitTermination()
+    return BooleanIndex(spark, f"{base}/index").postings()
+
+
+def _kv_store(spark: SparkSession, d: str) -> KeyValueStore:
+    """``kv_log`` in a store, then some single puts and deletes, compacted and opened again."""
+    path = shared_dir(spark, "store")
+    store = KeyValueStore(spark, path)
+    store.put_table(table(spark, d, "kv_log"))
+    store.put("snapshot", b"")
+    store.put("quarry", b"new")
+    store.flush()
+    store.put("quarry", None)
+    store.put("shard", b"again")
+    store.compact()
+    return KeyValueStore(spark, path)
+
+
+_KV = """WITH own AS (SELECT * FROM (VALUES ('snapshot', ''), ('shard', '616761696E')) v(key, value_hex)),
+logged AS (SELECT key, hex(arg_max(value, seq)) AS value_hex FROM (SELECT key, seq, coalesce(value, ''::BLOB) AS value, value IS NOT NULL AS live FROM kv_log WHERE key IS NOT NULL AND seq IS NOT NULL) GROUP BY key HAVING arg_max(live, seq)),
+s AS (SELECT * FROM own UNION ALL SELECT * FROM logged WHERE key NOT IN (SELECT key FROM own) AND key <> 'quarry') """
+
+
+@query(_KV + "SELECT * FROM s")
+def kv_store_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All live keys of a store that took a table and single puts."""
+    return _kv_store(spark, d).rows().select("key", F.hex("value").alias("value_hex"))
+
+
+@query(_KV + "SELECT k.key, value_hex FROM (VALUES ('snapshot'), ('shard'), ('quarry'), ('never put')) k(key) LEFT JOIN s ON k.key = s.key")
+def kv_store_get(spark: SparkSession, d: str) -> DataFrame:
+    """Single keys of that store."""
+    store = _kv_store(spark, d)
+    found = [(k, store.get(k)) for k in ("snapshot", "shard", "quarry", "never put")]
+    return spark.createDataFrame([(k, None if v is None else v.hex().upper()) for k, v in found], "key string, value_hex string")
+
+
+@query("""SELECT key, count(DISTINCT member) AS members FROM (
+SELECT term AS key, doc_id::VARCHAR AS member FROM postings WHERE term <> 'bloom' UNION ALL SELECT 'run', 'x' UNION ALL SELECT 'bloom', 'y') WHERE key IS NOT NULL AND member IS NOT NULL GROUP BY key""")
+def kv_store_union(spark: SparkSession, d: str) -> DataFrame:
+    """Members per key of a store of sets: postings, then single puts and a delete, compacted and opened again."""
+    path = shared_dir(spark, "store")
+    store = UnionStore(spark, path)
+    store.put_table(_postings(spark, d).select(F.col("term").alias("key"), F.col("doc_id").cast("string").cast("binary").alias("member")))
+    store.put("run", b"x")
+    store.put("bloom", b"gone with the rest")
+    store.delete("bloom")
+    store.put("bloom", b"y")
+    store.compact()
+    return UnionStore(spark, path).rows().groupBy("key").agg(F.count(F.lit(1)).alias("members"))

@@ -29,10 +29,13 @@ def build_session(app: str = "quarrydex", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only where the session names none (local tests) a folder of this machine is used.
+    Where the session names none, a folder of this machine is used if the session runs on
+    this machine only (``local``); on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quarrydex-checkpoints")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
