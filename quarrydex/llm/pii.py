@@ -1,625 +1,80 @@
 """Personal information in free text (skip-chain conditional random field).
 
-Nodes are the words that may be names and the spans shaped like an address or a number.
-Each has a potential of its own, each pair of neighbouring name words a chain potential,
-and each pair of equal or nearly equal nodes of a document, however far apart, a skip potential in favour of the
-same label. Loopy belief propagation spreads what one mention's context says to all the
-others; labels are the largest marginals.
-
-The name words' own potentials are the weights of a logistic model of shape, context,
-affixes and lexicon, fitted on a bounded sample of documents (``SAMPLE`` texts, those with
-the smallest hashes of their ids). Its labels come from the lexicon: a given
-name next to a family name is a person, a common word outside of any name is not, and what
-is neither is left out. Each example is also used without its lexicon features, so that
-context alone must do for names that the lexicon lacks. All else covers every document and the whole of its text:
-also the counts that say which words are common, plain or names that the lexicon lacks.
+Nodes are the words that may be names and the spans shaped like mail addresses, numbers or street
+addresses, each with a potential for every kind it may be (:mod:`.pii_nodes`). Neighbouring name words share a chain potential,
+and equal or nearly equal nodes of a document, however far apart, a skip potential, in favour of
+the same label. Loopy belief propagation (:mod:`.pii_field`) spreads what one mention's context says to all
+the others; labels are the largest marginals.
+
+All weights are learned together from silver labels (:mod:`.pii_fit`) on a bounded sample of documents
+(``SAMPLE`` texts of at most ``MAX_TEXT`` characters, those with the smallest hashes of their ids). All else
+covers every document and the whole of its text: also the counts that say which words are common, plain or
+names that the lexicon lacks. The documents of an Arrow batch are one field.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
-from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrydex.llm import pii_patterns as P
+from quarrydex.llm.pii_field import AT, KINDS, LABELS, Field
+from quarrydex.llm.pii_fit import COUNTS, MAX_TEXT, SAMPLE, Corpus, at_least, count_words, learn, lexicon_sets, plain_words
+from quarrydex.llm.pii_nodes import Model, add_text, names
 from quarrydex.session import shared_dir
 
-#: Texts the model is fitted on, and lexicon words it may hold.
-SAMPLE, MAX_LEXICON = 8_000, 200_000
-#: Words of the corpus that the model may hold; what is counted of each.
-MAX_WORDS, COUNTS = 1_000_000, ("n", "lower", "before", "after", "beside")
-KINDS = ("email", "phone", "id_number", "address", "person")
+#: Lexicon words, and words of the corpus, that the model may hold.
+MAX_LEXICON, MAX_WORDS = 200_000, 1_000_000
+#: Characters of texts that make up one field.
+FIELD_CHARS = 2_000_000
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-#: Log-potentials in favour of equal labels along the chain, between repeated words and between repeated numbers or addresses; rounds and damping of message passing.
-CHAIN, SKIP, SKIP_SHAPE, ROUNDS, DAMPING = 2.0, 2.0, 4.0, 12, 0.3
-#: One in so many common words is an example of what is no name.
-ORDINARY = 8
-WORDS = re.compile(r"[^\W\d_]{2,}")
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-
-
-@dataclass
-class Model:
-    """The fitted name model: feature weights, the lexicon with what the corpus adds to it, and common words."""
-
-    weights: dict[str, float] = field(default_factory=dict)
-    given: frozenset[str] = frozenset()
-    family: frozenset[str] = frozenset()
-    common: frozenset[str] = frozenset()
-    plain: frozenset[str] = frozenset()
-    heads: frozenset[str] = frozenset()
-    tails: frozenset[str] = frozenset()
-
-    def __getstate__(self) -> dict:
-        """Without what is only remembered."""
-        return {f.name: getattr(self, f.name) for f in fields(self)}
-
-    @cached_property
-    def known_kinds(self) -> dict[str, str]:
-        return {}
-
-    @cached_property
-    def known_shapes(self) -> dict[str, str]:
-        return {}
-
-    @staticmethod
-    def remember(known: dict[str, str], word: str, value: str) -> str:
-        """Keeps a word's property, within bounds."""
-        if len(known) < MAX_LEXICON and len(word) < 64:
-            known[word] = value
-        return value
-
-    @cached_property
-    def ordinary(self) -> frozenset[str]:
-        """Words that are no name unless one stands beside them."""
-        words = self.common | P.PARTICLES | P.TITLES | P.CUES
-        return frozenset(w for w in words if not self.kind_of(w))
-
-    def built_like_family(self, low: str) -> bool:
-        """Made of a beginning and an ending that several family names have."""
-        return any(low[:i] in self.heads and low[i:] in self.tails for i in range(4, len(low) - 1))
-
-    def kind_of(self, low: str) -> str:
-        g, f = low in self.given, low in self.family or low not in self.common and self.built_like_family(low)
-        return ("b" if g and f else "g" if g else "f" if f else "") + ("p" if low in self.plain and (g or f) else "")
-
-
-def _shape(w: str) -> str:
-    if len(w) == 1:
-        return "I" if w.isupper() else "i"
-    return "T" if w[0].isupper() and w[1:].islower() else "U" if w.isupper() else "l" if w.islower() else "M"
-
-
-def _word(low: str) -> str:
-    """A token in a context feature: all numbers are alike, and all single letters."""
-    return "0" if low[0].isdigit() else "X" if len(low) == 1 and low.isalpha() else low
-
-
-def features(i: int, toks: list, lows: list[str], kinds: list[str], shapes: list[str], model: Model) -> tuple[list[str], list[str]]:
-    """Features of token i: (from the context, from the lexicon)."""
-    n = len(toks)
-    skip = lambda j: kinds[j] or shapes[j] in "TUMIi" and lows[j].isalpha() or lows[j] in P.PARTICLES or lows[j] in ".-'’" and j and shapes[j - 1] in "IT"
-    l1 = lows[i - 1] if i else "^"
-    r1 = lows[i + 1] if i + 1 < n else "$"
-    # The nearest words left and right that can't be part of the same name.
-    j = i - 1
-    while j >= 0 and j > i - 5 and skip(j) and lows[j] not in P.TITLES and lows[j].isalpha() and kinds[j]:
-        j -= 1
-    while j >= 1 and lows[j] in (".", "'", "’") and shapes[j - 1] in ("I", "i"):
-        j -= 2
-    far_left = " ".join(_word(lows[x]) if x >= 0 else "^" for x in (j - 1, j))
-    k = i + 1
-    while k < n and k < i + 6 and skip(k):
-        k += 1
-    far_right = " ".join(_word(lows[x]) if x < n else "$" for x in (k, k + 1))
-    w = lows[i]
-    s = shapes[i]
-    initial = i > 1 and l1 == "." and shapes[i - 2] in ("I", "i") and not toks[i - 1][3]
-    context = [
-        "bias", "s=" + s, "l1=" + _word(l1), "r1=" + _word(r1), "fl=" + far_left, "fr=" + far_right,
-        "l2=" + (_word(lows[i - 2]) if i > 1 else "^") + " " + _word(l1), "r2=" + _word(r1) + " " + (_word(lows[i + 2]) if i + 2 < n else "$"),
-        "sl=" + s + ("^" if not initial and (i == 0 or l1 in ".?!:;*-" or "\n" in toks[i][3]) else "m"),
-        "m=" + str(model.built_like_family(w)), "suf=" + w[-4:], "pre=" + w[:4], "ini=" + ("." if i > 1 and l1 == "." and shapes[i - 2] in ("I", "i") and not toks[i - 1][3] else "") + shapes[i],
-        "ps=" + ("s" if r1 in "'’" and i + 2 < n and lows[i + 2] == "s" else "-"),
-    ]
-    left = kinds[i - 1] if i and toks[i - 1][0].isalpha() else (kinds[i - 2] + "," if i > 1 and l1 in ",.-'’" else "")
-    right = kinds[i + 1] if i + 1 < n and toks[i + 1][0].isalpha() else (kinds[i + 2] + "," if i + 2 < n and r1 in ",.-" else "")
-    lexicon = ["k=" + kinds[i], "k=" + kinds[i] + s, "kl=" + left + ">" + kinds[i], "kr=" + kinds[i] + "<" + right]
-    return context, lexicon
-
-
-def _before_family(i: int, lows: list[str], kinds: list[str]) -> bool:
-    """Whether token i stands where a given name would: before a family name, or after one and a comma."""
-    f = lambda j: j < len(kinds) and "f" in kinds[j] and "p" not in kinds[j]
-    if f(i + 1) or i > 1 and lows[i - 1] == "," and f(i - 2):
-        return True
-    return f(i + 3) and len(lows[i + 1]) == 1 and lows[i + 1].isalpha() and lows[i + 2] in (".", "'", "’")
-
-
-def prepare(text: str, model: Model) -> tuple[list, list[str], list[str], list[str]]:
-    """Tokens ``(text, start, end, gap before)`` with lower case, lexicon kind and shape."""
-    toks, end = [], 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
-        toks.append((m.group(), a, b, text[end:a]))
-        end = b
-    lows = [t[0].lower() for t in toks]
-    kind, shape = model.known_kinds, model.known_shapes
-    kinds = [k if (k := kind.get(w)) is not None else model.remember(kind, w, model.kind_of(w) if w.isalpha() else "") for w in lows]
-    shapes = [s if (s := shape.get(t[0])) is not None else model.remember(shape, t[0], _shape(t[0]) if t[0].isalpha() else "") for t in toks]
-    return toks, lows, kinds, shapes
-
-
-def _mask(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with what was found already blanked out, at unchanged places; spans don't overlap."""
-    parts, at = [], 0
-    for a, b in sorted(spans):
-        parts += [text[at:a], "\x00" * (b - a)]
-        at = b
-    return "".join(parts) + text[at:] if parts else text
 
+Found = tuple[int, int, str]
 
-def count_words(texts: list[str], given: set[str], family: set[str], into: dict[tuple[str, str], list[int]] | None = None) -> dict[tuple[str, str], list[int]]:
-    """What :func:`learn` has to know of the whole corpus; counts of parts add up.
 
-    ``(word, "")`` has how often the word stands at all, in lower case, before a family name and
-    behind a given name; ``(word, family name)`` how often it stands before that one; ``("", "")`` the texts.
-    """
-    out = defaultdict(lambda: [0] * 5) if into is None else into
-    for text in texts:
-        text = _mask(text, [m.span() for m in P.EMAIL.finditer(text)])
-        t = ["^", "^", "^", *TOKEN.findall(text), "$", "$", "$", "$"]
-        lows = [x.lower() for x in t]
-        out["", ""][0] += 1
-        for w, n in Counter(lows).items():
-            if w.isalpha():
-                out[w, ""][0] += n
-        if not (text.islower() or text.isupper()):
-            for x, n in Counter(t).items():
-                if x.islower() and x.isalpha():
-                    out[x, ""][1] += n
-        followed: dict[int, str] = {}  # places of words in front of a family name, or behind one and a comma
-        behind: set[int] = set()  # places of words behind a given name or an initial, or in front of a comma and a given name
-        for j, w in enumerate(lows):
-            if w in family:
-                if lows[j + 1] == ",":
-                    followed.setdefault(j + 2, w)
-                if lows[j - 1] in (".", "'", "’") and len(lows[j - 2]) == 1 and lows[j - 2].isalpha():
-                    followed[j - 3] = w
-                if lows[j - 1] in P.PARTICLES:
-                    followed[j - 2] = w
-                followed[j - 1] = w
-            if w in given:
-                behind.add(j + 1)
-                if lows[j + 1] in P.PARTICLES:
-                    behind.add(j + 2)
-                if lows[j - 1] == ",":
-                    behind.add(j - 2)
-            elif w in (".", "'", "’") and len(lows[j - 1]) == 1 and lows[j - 1].isalpha():
-                behind.add(j + 1)
-        for j, w in followed.items():
-            if lows[j].isalpha():
-                out[lows[j], ""][2] += 1
-                out[lows[j], w][4] += 1
-        for j in behind:
-            if lows[j].isalpha():
-                out[lows[j], ""][3] += 1
+def find_in(texts: list[str], model: Model) -> list[list[Found]]:
+    """For each text ``(start, end, kind)`` of everything found, in order, without overlaps."""
+    crf = Field()
+    read = [add_text(t, model, crf) for t in texts]
+    best = crf.marginals().argmax(axis=1)
+    out = []
+    for r in read:
+        found = [(s.start, s.end, LABELS[best[r.first + v]]) for v, s in enumerate(r.spans) if best[r.first + v]]
+        at = r.first + len(r.spans)
+        person = {i for v, i in enumerate(r.order) if best[at + v]}
+        out.append(sorted(found + [(a, b, "person") for a, b in names(person, r.tokens)]))
     return out
 
 
-def at_least(n: int, texts: int) -> float:
-    """How often a word stands in ``texts`` texts that is as frequent as ``n`` times in SAMPLE, and ``n`` times at least."""
-    return max(n, n * texts / SAMPLE)
-
-
-def plain_words(counts: dict[str, tuple], given: set[str], family: set[str], texts: int) -> frozenset[str]:
-    """Lexicon words that mostly stand where no name can be made out are plain words too."""
-    least = at_least(10, texts)
-    return frozenset(w for w, (n, _, before, after) in counts.items() if n >= least and (before if w in given else 0) + (after if w in family else 0) < 0.25 * n)
-
-
-def lexicon_sets(lexicon: list[tuple[str, str]]) -> tuple[set[str], set[str]]:
-    return {w.lower() for w, k in lexicon if k == "given"}, {w.lower() for w, k in lexicon if k == "family"}
-
-
-@dataclass
-class Corpus:
-    """Number of texts, plain words, and per word: occurrences, those in lower case, before a family name, behind a given name, before a family name that isn't plain."""
-
-    texts: int
-    plain: frozenset[str]
-    words: dict[str, tuple[int, int, int, int, int]]
-
-
-def corpus_of(texts: list[str], given: set[str], family: set[str]) -> Corpus:
-    counts = count_words(texts, given, family)
-    total = counts.pop(("", ""), [0])[0]
-    plain = plain_words({w: counts[w, ""][:4] for w in given | family if (w, "") in counts}, given, family, total)
-    sure = Counter()
-    for (w, f), n in counts.items():
-        if f and f not in plain:
-            sure[w] += n[4]
-    return Corpus(total, plain, {w: (*n[:4], sure[w]) for (w, f), n in counts.items() if not f})
-
-
-def learn(texts: list[str], lexicon: list[tuple[str, str]], rounds: int = 60, corpus: Corpus | None = None) -> Model:
-    """Fits the name model's weights on ``texts``, with the word counts of the whole ``corpus`` (else of ``texts``); deterministic.
+def find_all(text: str, model: Model) -> list[Found]:
+    """:func:`find_in` for one text."""
+    return find_in([text], model)[0]
 
-    How frequent a word must be to count as common or plain is a rate, alike at every size.
-    Names that the lexicon lacks are told by the share of a word's places that are a name's, given two such places.
-    """
-    given, family = lexicon_sets(lexicon)
-    corpus = corpus or corpus_of(texts, given, family)
-    masked = [_mask(text, [m.span() for m in P.EMAIL.finditer(text)]) for text in texts]
-    plain, words = corpus.plain, sorted(corpus.words.items())
-    titled = lambda w, n, lower: lower <= 0.5 * n and len(w) > 2 and w not in P.TITLES and w not in P.PARTICLES
-    # Words the lexicon lacks that stand before sure family names are given names, and the other way round.
-    given |= {w for w, (n, lower, _, _, sure) in words if sure >= 2 and sure >= 0.34 * n and titled(w, n, lower) and w not in family}
-    endings = {f[-4:] for f in family}
-    family |= {w for w, (n, lower, _, after, _) in words if after >= 2 and after >= 0.5 * n and titled(w, n, lower) and w not in given and w[-4:] in endings}
-    least = at_least(4, corpus.texts)
-    common = frozenset(
-        w for w, (n, lower, before, after, _) in words if n >= least and w not in given and w not in family and (before + after < 0.2 * n or lower > 0.8 * n) and len(w) > 1
-    )
-    begin, end = Counter(w[:i] for w in family for i in range(4, len(w) - 1)), Counter(w[i:] for w in family for i in range(4, len(w) - 1))
-    often = lambda c: frozenset(x for x, n in c.items() if n >= 3)
-    model = Model({}, frozenset(given), frozenset(family), common, plain, often(begin), often(end))
-    seen: dict[tuple, int] = Counter()
-    ordinary = 0
-    for text in masked:
-        toks, lows, kinds, shapes = prepare(text, model)
-        n = len(toks)
-        person = [False] * n
-        for i in range(n - 1):
-            g, f = kinds[i][:1] in ("g", "b") and kinds[i] != "", kinds[i][:1] in ("f", "b") and kinds[i] != ""
-            j = i + 1
-            if g:
-                if j + 2 < n and len(lows[j]) == 1 and lows[j] != "," and lows[j + 1] in ".'’":
-                    j += 2
-                elif lows[j] in P.PARTICLES:
-                    j += 1
-                if j < n and kinds[j][:1] in ("f", "b") and kinds[j]:
-                    person[i] = person[j] = True
-            if f and i > 1 and lows[i - 1] == "." and shapes[i - 2] in ("I", "i"):
-                person[i] = True
-            if f and lows[i + 1] == "," and i + 2 < n and kinds[i + 2][:1] in ("g", "b") and kinds[i + 2]:
-                person[i] = person[i + 2] = True
-        for i in range(n):
-            w = lows[i]
-            if not w.isalpha() or len(w) == 1 or w in P.PARTICLES:
-                continue
-            k = kinds[i]
-            if w in common and not k:
-                ordinary += 1
-                if (not _before_family(i, lows, kinds) and ordinary % ORDINARY) or _before_family(i, lows, kinds) and (shapes[i] != "l" or text.islower()):
-                    continue  # of common words a part will do; those before a family name may be names as well
-                c, x = features(i, toks, lows, kinds, shapes, model)
-                seen[tuple(c + x), 0] += 1
-                continue
-            if person[i] or k and "p" not in k and shapes[i] in "TU":
-                y = 1
-            elif k and "p" in k:
-                y = 0
-            elif k or any(kinds[max(0, i - 2) : i + 3]) or i > 1 and lows[i - 1] == "." and shapes[i - 2] == "I":
-                continue
-            else:
-                y = 0
-            c, x = features(i, toks, lows, kinds, shapes, model)
-            seen[tuple(c + x), y] += 1
-            if y and k:  # as if the lexicon lacked the word, and as if there were none
-                kinds[i] = ""
-                seen[tuple(sum(features(i, toks, lows, kinds, shapes, model), [])), y] += 0.4
-                kinds[i] = k
-                seen[tuple(c), y] += 0.2
-            elif not y:
-                seen[tuple(c), y] += 1
-    model.weights = _fit(seen, rounds)
-    return model
-
-
-def _fit(seen: dict, rounds: int) -> dict[str, float]:
-    """Logistic regression with L2 by accelerated full-batch steps on distinct feature rows."""
-    ids: dict[str, int] = {}
-    rows, cols, y, w = [], [], [], []
-    for r, ((f, label), n) in enumerate(sorted(seen.items())):
-        for name in f:
-            rows.append(r)
-            cols.append(ids.setdefault(name, len(ids)))
-        y.append(label)
-        w.append(float(n) ** 0.5)
-    if not y:
-        return {}
-    rows, cols, y, w = np.array(rows), np.array(cols), np.array(y, float), np.array(w)
-    w[y == 1] *= max(1.0, w[y == 0].sum() / max(w[y == 1].sum(), 1) / 4)
-    theta, grad2 = np.zeros(len(ids)), np.full(len(ids), 1e-6)
-    for _ in range(rounds):
-        z = np.bincount(rows, weights=theta[cols], minlength=len(y))
-        d = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(cols, weights=d[rows], minlength=len(ids)) + 0.1 * theta
-        grad2 += g * g
-        theta -= 0.7 * g / np.sqrt(grad2)
-    return {name: round(float(theta[i]), 3) for name, i in ids.items() if abs(theta[i]) > 0.01}
-
-
-class Field:
-    """A pairwise random field over nodes with few labels; label 0 is "none"."""
-
-    def __init__(self) -> None:
-        self.own: list[np.ndarray] = []
-        self.labels: list[tuple[str, ...]] = []
-        self.edges: list[tuple[int, int, float]] = []
-
-    def node(self, scores: dict[str, float]) -> int:
-        self.labels.append(("", *scores))
-        self.own.append(np.array([0.0, *scores.values()]))
-        return len(self.own) - 1
-
-    def marginals(self, rounds: int = ROUNDS, damping: float = DAMPING) -> list[np.ndarray]:
-        """Loopy sum-product; exact on trees."""
-        out: list[list[int]] = [[] for _ in self.own]
-        pair, to, messages = [], [], []
-        for a, b, strength in self.edges:
-            m = np.array([[strength if x == y else 0.0 for y in self.labels[b]] for x in self.labels[a]])
-            for i, j, t in ((a, b, m), (b, a, m.T)):
-                out[j].append(len(pair))
-                pair.append((i, t))
-                to.append(j)
-                messages.append(np.zeros(len(self.labels[j])))
-        for _ in range(rounds if pair else 0):
-            belief = [self.own[v] + sum((messages[e] for e in out[v]), np.zeros(len(self.own[v]))) for v in range(len(self.own))]
-            fresh = []
-            for e, (i, t) in enumerate(pair):
-                without = belief[i] - messages[e ^ 1]
-                m = without[:, None] + t
-                top = m.max(axis=0)
-                new = top + np.log(np.exp(m - top).sum(axis=0))
-                fresh.append((1 - damping) * (new - new.max()) + damping * messages[e])
-            messages = fresh
-        done = []
-        for v in range(len(self.own)):
-            b = self.own[v] + sum((messages[e] for e in out[v]), np.zeros(len(self.own[v])))
-            b = np.exp(b - b.max())
-            done.append(b / b.sum())
-        return done
-
-
-def name_marginals(scores: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
-    """:meth:`Field.marginals` for nodes with one label besides "none", all messages of a round at once; the label's probability."""
-    if not edges:
-        return 1 / (1 + np.exp(-np.clip(scores, -500, 500)))
-    a, b, k = (np.array(x) for x in zip(*edges))
-    source, target, k = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([k, k])
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-    messages = np.zeros(len(source))
-    for _ in range(rounds):
-        belief = scores + np.bincount(target, weights=messages, minlength=len(scores))
-        without = belief[source] - messages[back]
-        messages = (1 - damping) * (np.logaddexp(k + without, 0) - np.logaddexp(without, k)) + damping * messages
-    belief = scores + np.bincount(target, weights=messages, minlength=len(scores))
-    return 1 / (1 + np.exp(-np.clip(belief, -500, 500)))
-
-
-def _cue(text: str, start: int, cues: frozenset[str]) -> bool:
-    return any(w in cues for w in re.findall(r"[^\W\d_]+", text[max(0, start - 48) : start].lower())[-6:])
-
-
-def _streets(text: str) -> Iterator[tuple[int, int]]:
-    """Places shaped like a street and a house number."""
-    for pattern in P.ADDRESS:
-        for m in pattern.finditer(text):
-            yield m.span()
-    for m in P.STREET_END.finditer(text):
-        a = m.start()
-        while a and (text[a - 1].isalpha() or text[a - 1] == "-" and a > 1 and text[a - 2].isalpha()):
-            a -= 1
-        if a < m.start() and not (a and (text[a - 1].isalnum() or text[a - 1] in "_-")):
-            yield a, m.end()
-
-
-def _near(a: str, b: str) -> bool:
-    """Equal up to one changed, missing or doubled letter."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 6:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
-
-
-def _linked(w: str, model: Model) -> bool:
-    """Whether mentions of a word have skip edges."""
-    return len(w) > 2 and w not in model.plain
-
-
-def _near_pairs(words: set[str]) -> list[tuple[str, str]]:
-    """Pairs of names one letter apart; they share a half."""
-    out, by_half = [], defaultdict(list)
-    for w in sorted(words):
-        if len(w) >= 6:
-            halves = {w[: len(w) // 2], w[len(w) // 2 :], w[: (len(w) - 1) // 2], w[(len(w) + 1) // 2 :]}
-            out += [(other, w) for other in sorted({x for h in halves for x in by_half[h] if _near(w, x)})]
-            for h in halves:
-                by_half[h].append(w)
-    return out
 
-
-def _strengths(candidates: dict[int, float], near: list[tuple[str, str]], toks: list, lows: list[str], model: Model) -> dict[int, float]:
-    """For candidates of low score: the most that all edges they can have add up to, which bounds their messages."""
-    order = sorted(candidates)
-    times, close = Counter(lows[i] for i in order), Counter(w for pair in near for w in pair)
-    out = {}
-    for k, i in enumerate(order):
-        if candidates[i] < -6.0:
-            chain = sum(_joined(*pair, toks, lows) for pair in (order[max(k - 1, 0) : k + 1], order[k : k + 2]) if len(pair) == 2)
-            out[i] = CHAIN * chain + (SKIP * (min(times[lows[i]] - 1, 2) + close[lows[i]]) if _linked(lows[i], model) else 0.0)
+def marginals_in(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float]]]:
+    """For each text ``(start, end, kind, probability)`` of every node and each kind it may be."""
+    crf = Field()
+    read = [add_text(t, model, crf) for t in texts]
+    p = crf.marginals()
+    out = []
+    for r in read:
+        rows = [(s.start, s.end, x, float(p[r.first + v, AT[x]])) for v, s in enumerate(r.spans) for x in s.labels]
+        at = r.first + len(r.spans)
+        rows += [(r.tokens.toks[i][1], r.tokens.toks[i][2], "person", float(p[at + v, AT["person"]])) for v, i in enumerate(r.order)]
+        out.append(sorted(rows))
     return out
 
 
-def find_all(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)`` of everything found, in order, without overlaps."""
-    found: list[tuple[int, int, str]] = [(*m.span(), "email") for m in P.EMAIL.finditer(text)] if "@" in text or "＠" in text or P.SPELLED.search(text) else []
-    rest = _mask(text, [(a, b) for a, b, _ in found])
-    crf = Field()
-    spans: list[tuple[int, int, str]] = []  # of each shape: place, and what repeats of it share
-    has_digit = any(c.isdigit() for c in rest)
-    if has_digit:
-        taken = bytearray(len(rest))
-        shaped: list[tuple[int, int, str, dict[str, float]]] = []
-        for a, b in _streets(rest):
-            words = re.findall(r"[^\W\d_]{2,}", rest[a:b])
-            lows_ = [w.lower() for w in words]
-            if "\x00" in rest[a:b] or any(w in P.NOT_STREET for w in lows_[:-1]):
-                continue
-            usual = sum(w in model.common for w in lows_[:-1])
-            titled = any(w[:1].isupper() for w in words)
-            shaped.append((a, b, " ".join(lows_), {"address": 1.2 + 2.0 * _cue(rest, a, P.ADDRESS_CUES) + titled - 0.3 * usual}))
-        # Two characters more, for what the shapes must not be followed by.
-        zones = [(m.start(), m.end() + 2) for m in P.ZONE.finditer(rest) if m.end() - m.start() >= 8]
-        for pattern in P.PHONE:
-            for m in (m for a, b in zones for m in pattern.finditer(rest, a, b)):
-                a, b = m.span()
-                while not rest[b - 1].isdigit():
-                    b -= 1
-                if 8 <= sum(c.isdigit() for c in rest[a:b]) <= 16:
-                    cues = {"phone": 2.5 + 2.0 * _cue(rest, a, P.PHONE_CUES), "id_number": -2.0 + 2.0 * _cue(rest, a, P.ID_CUES)}
-                    shaped.append((a, b, re.sub(r"\D", "", rest[a:b]), cues))
-        for pattern, weight in P.ID_SHAPES:
-            for m in (m for a, b in zones for m in pattern.finditer(rest, a, b)):
-                scores = {"id_number": weight + 6.0 * _cue(rest, m.start(), P.ID_CUES)}
-                if m.group().isdigit() and len(m.group()) >= 9:
-                    scores["phone"] = -3.5 + 3.0 * _cue(rest, m.start(), P.PHONE_CUES)
-                shaped.append((*m.span(), re.sub(r"[\W_]", "", m.group()).lower(), scores))
-        # Of shapes that overlap, the longest stays.
-        for a, b, same, scores in sorted(shaped, key=lambda x: (x[0] - x[1], x[0])):
-            if not any(taken[a:b]):
-                taken[a:b] = b"\x01" * (b - a)
-                spans.append((a, b, same))
-                crf.node(scores)
-    rest = _mask(rest, [(a, b) for (a, b, _), labels in zip(spans, crf.labels) if "address" in labels])  # numbers stay as context
-    # Most texts hold common words only; they need no tokens.
-    rare = any(w not in model.ordinary for w in set(WORDS.findall(rest.lower())))
-    toks, lows, kinds, shapes = prepare(rest, model) if rare else ([], [], [], [])
-    node_of: dict[int, int] = {}
-    candidates: dict[int, float] = {}
-    scores: list[float] = []
-    get = model.weights.get
-    for i, w in enumerate(lows):
-        if not w.isalpha() or len(w) == 1 or w in P.PARTICLES or w in P.TITLES:
-            continue
-        if not kinds[i] and (w in P.CUES or w in model.common and not _before_family(i, lows, kinds)):
-            continue
-        c, x = features(i, toks, lows, kinds, shapes, model)
-        score = sum(get(f, 0.0) for f in c) + sum(get(f, 0.0) for f in x)
-        candidates[i] = score
-    near = _near_pairs({lows[i] for i in candidates if _linked(lows[i], model)})
-    bound = _strengths(candidates, near, toks, lows, model)
-    for i, score in candidates.items():
-        if score >= -max(6.0, bound.get(i, 0.0)):  # else its neighbours together couldn't turn it
-            node_of[i] = len(scores)
-            scores.append(score)
-    if not spans and not scores:
-        return sorted(found)
-    last: dict[str, int] = {}
-    for v, (_, _, same) in enumerate(spans):
-        if len(same) > 2:
-            if same in last:
-                crf.edges.append((last[same], v, SKIP_SHAPE))
-            last[same] = v
-    for (a, b, _), labels, marginal in zip(spans, crf.labels, crf.marginals()):
-        if best := int(marginal.argmax()):
-            found.append((a, b, labels[best]))
-    order = sorted(node_of)
-    edges = [(node_of[i], node_of[j], CHAIN) for i, j in zip(order, order[1:]) if _joined(i, j, toks, lows)]
-    last = {}
-    for i in order:
-        w = lows[i]
-        if _linked(w, model):
-            if w in last:
-                edges.append((last[w], node_of[i], SKIP))
-            last[w] = node_of[i]
-    edges += [(last[other], last[w], SKIP) for other, w in near if other in last and w in last]
-    likely = name_marginals(np.array(scores), edges)
-    person = {i for i, v in node_of.items() if likely[v] > 0.5}
-    found += [(a, b, "person") for a, b in _names(person, toks, lows, kinds, shapes)]
-    return sorted(found)
-
-
-def _joined(i: int, j: int, toks: list, lows: list[str]) -> bool:
-    """Whether tokens i < j can be neighbours within one name: nothing but blanks, a comma, initials, a particle, hyphen or apostrophe between."""
-    if j - i > 5 or "\n" in "".join(t[3] for t in toks[i + 1 : j + 1]):
-        return False
-    between = lows[i + 1 : j]
-    return all(w in (",", ".", "-", "'", "’") or len(w) == 1 and w.isalpha() or w in P.PARTICLES for w in between) and between.count(",") < 2
-
-
-def _names(person: set[int], toks: list, lows: list[str], kinds: list[str], shapes: list[str]) -> list[tuple[int, int]]:
-    """Spans of whole names around the tokens found: initials, particles, hyphens, ``family, given``; titles and possessives stay outside."""
-    out, order, at = [], sorted(person), 0
-    is_given = lambda i: kinds[i][:1] in ("g", "b") and kinds[i] != ""
-    while at < len(order):
-        first = last = order[at]
-        n_words, inverted = 1, False
-        at += 1
-        while at < len(order):
-            j = order[at]
-            between = lows[last + 1 : j]
-            gaps = "".join(t[3] for t in toks[last + 1 : j + 1])
-            if "\n" in gaps:
-                break
-            if between == ["-"] and not gaps:
-                pass
-            elif between == [","]:
-                # "family, given": one family name before and one word after, unless that one begins another name.
-                if inverted or n_words != 1 or is_given(last) and not kinds[last].startswith("b"):
-                    break
-                nxt = order[at + 1] if at + 1 < len(order) else None
-                if nxt is not None and nxt == j + 1 and not is_given(j):
-                    break
-                inverted = True
-            elif inverted or n_words >= 2:
-                break
-            elif not between:
-                if is_given(j) and not is_given(last):
-                    break
-                n_words += 1
-            elif len(between) == 2 and between[1] in (".", "'", "’") and len(between[0]) == 1:
-                n_words += 1
-            elif len(between) == 4 and between[1] == "." and len(between[0]) == 1:
-                n_words += 1
-            elif between[-1] in P.PARTICLES and all(w in P.PARTICLES for w in between):
-                n_words += 1
-            else:
-                break
-            last = j
-            at += 1
-        start, end = toks[first][1], toks[last][2]
-        # What stands before: O', initials.
-        k = first
-        if k >= 2 and lows[k - 1] in ("'", "’") and len(lows[k - 2]) == 1 and not toks[k][3] and not toks[k - 1][3]:
-            k -= 2
-            start = toks[k][1]
-        if n_words == 1 and not (is_given(first) and not inverted):
-            while k >= 2 and lows[k - 1] == "." and len(lows[k - 2]) == 1 and lows[k - 2].isalpha() and "\n" not in toks[k][3] and not toks[k - 1][3]:
-                k -= 2
-                start = toks[k][1]
-        # The other half of a double name may be a plain word as well.
-        if last + 2 < len(toks) and lows[last + 1] == "-" and not toks[last + 1][3] and not toks[last + 2][3] and "f" in kinds[last + 2]:
-            end = toks[last + 2][2]
-        # After an inverted name, an initial belongs to it.
-        if inverted and last + 2 < len(toks) and len(lows[last + 1]) == 1 and lows[last + 1].isalpha() and lows[last + 2] == "." and shapes[last + 1] == "I":
-            end = toks[last + 2][2]
-        out.append((start, end))
-    return out
+def _in_fields(ids: list, texts: list, each) -> Iterator[tuple[list, list, list]]:
+    """``(ids, texts, each(texts))`` over runs of texts of about FIELD_CHARS; null and empty texts are none."""
+    a, size = 0, 0
+    for b, t in enumerate(texts):
+        size += len(t or "")
+        if size >= FIELD_CHARS or b + 1 == len(texts):
+            yield ids[a : b + 1], texts[a : b + 1], each([t or "" for t in texts[a : b + 1]])
+            a, size = b + 1, 0
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -633,13 +88,13 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def fit_model(documents: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> Model:
-    """The name model for a table of ``doc_id, text`` and a lexicon of ``name_word, name_kind`` (both may hold nulls and repeats)."""
+    """The model for a table of ``doc_id, text`` and a lexicon of ``name_word, name_kind`` (both may hold nulls and repeats)."""
     words = lexicon.select("name_word", "name_kind").where("name_word IS NOT NULL AND name_kind IS NOT NULL").distinct().limit(MAX_LEXICON + 1).collect()
     if len(words) > MAX_LEXICON:
         raise ValueError(f"more than {MAX_LEXICON} names")
-    lexicon_words = [(r.name_word, r.name_kind) for r in words]
+    lexicon_words = sorted((r.name_word, r.name_kind) for r in words)
     some = documents.select("doc_id", "text").where(F.length("text") > 0)
-    texts = [r.text for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    texts = [r.text for r in some.where(F.length("text") <= MAX_TEXT).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
     return learn(texts, lexicon_words, corpus=count_corpus(some, *lexicon_sets(lexicon_words)))
 
 
@@ -689,24 +144,37 @@ def find_personal(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, kinds, found = [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text:
-                    for kind, x in {(kind, text[s:e]) for s, e, kind in find_all(text, model)}:
-                        ids.append(i)
-                        kinds.append(kind)
-                        found.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["doc_id", "kind", "found_text"])
+            for ids, texts, found in _in_fields(b.column(0).to_pylist(), b.column(1).to_pylist(), lambda t: find_in(t, model)):
+                rows = [(i, kind, x) for i, text, spans in zip(ids, texts, found) for kind, x in {(kind, text[s:e]) for s, e, kind in spans}]
+                columns = list(zip(*rows)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "found_text"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, kind string, found_text string").distinct()
 
 
+def span_marginals(documents: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, start_at, end_at, kind, probability``: the field's marginal of every node of every document and each kind it may be.
+
+    Places count characters from 0. Null and empty texts have no nodes.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, _, found in _in_fields(b.column(0).to_pylist(), b.column(1).to_pylist(), lambda t: marginals_in(t, model)):
+                columns = list(zip(*((i, *x) for i, rows in zip(ids, found) for x in rows))) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start_at", "end_at", "kind", "probability"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_at bigint, end_at bigint, kind string, probability double")
+
+
 def redact_documents(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, text``: every document, each find replaced by its placeholder; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [redact(t, find_all(t, model)) if t else t for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for ids, texts, found in _in_fields(b.column(0).to_pylist(), b.column(1).to_pylist(), lambda t: find_in(t, model)):
+                clean = [redact(t, f) if t else t for t, f in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clean, pa.string())], names=["doc_id", "text"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string")

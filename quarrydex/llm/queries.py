@@ -146,6 +146,11 @@ def _model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
     return documents, pii.fit_model(documents, table(spark, d, "name_lexicon"))
 
 
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """The random field's marginals: every place that may be personal information, and how likely it is of which kind."""
+    return pii.span_marginals(*_model(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information as it stands in the documents."""
     return pii.find_personal(*_model(spark, d))
@@ -160,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_wrong_rate, p3_filter_audit, p4_found, p4_terms, p4_grams, p5_method, p5_found, p5_top_terms,
-        p6_found, p6_templates, p6_template_members, p7_found, p7_mixture, p7_shares, p7_overlap_shares, p8_found, p8_redacted,
+        p6_found, p6_templates, p6_template_members, p7_found, p7_mixture, p7_shares, p7_overlap_shares, p8_method, p8_found, p8_redacted,
     )
 }
 
