@@ -22,7 +22,7 @@ import numpy as np
 from quarrydex.llm import pii_patterns as P
 from quarrydex.llm.pii_field import AT, LABELS
 from quarrydex.llm.pii_nodes import (
-    MAX_KNOWN, STRENGTHS, TOKEN, WORDS, Model, Span, Tokens, before_family, candidates, features, mails, mask, name_edges, prepare, span_edges, spans_of, street_features, _around,
+    MAX_KNOWN, PRIOR, STRENGTHS, TOKEN, WORDS, Model, Span, Tokens, before_family, candidates, features, mails, mask, name_edges, prepare, span_edges, spans_of, street_features, _around,
 )
 
 #: Texts the weights are fitted on, none longer than so many characters.
@@ -310,10 +310,11 @@ def fit(model: Model, examples: Examples, rounds: int) -> None:
     """Softmax regression with L2 by accelerated full-batch steps on distinct examples.
 
     Each example has an entry for "none", whose features score 0, and one for each label it may have. Edge
-    strengths multiply the number of neighbours with the entry's label; they are drawn towards their values
-    before learning, features' weights towards 0.
+    strengths multiply the number of neighbours with the entry's label. All weights and strengths are drawn towards
+    their values before learning, which are 0 for most features.
     """
-    ids: dict[tuple[str, str], int] = {}
+    ids: dict[tuple[str, str], int] = {(x, f): i for i, (x, f) in enumerate((x, f) for x, w in PRIOR.items() for f in w)}
+    first = [PRIOR[x][f] for x, f in ids]
     kinds = list(STRENGTHS)
     entry_of, feature_of, row_of, is_true, agree, weight, positive = [], [], [], [], [], [], []
     for row, ((names, labels, label, around), n) in enumerate(sorted(examples.seen.items())):
@@ -335,14 +336,15 @@ def fit(model: Model, examples: Examples, rounds: int) -> None:
     yes, no = positive == AT["person"], positive == 0
     weight[yes] *= max(1.0, weight[no].sum() / max(weight[yes].sum(), 1) / 4)
     prior = np.array([STRENGTHS[k] for k in kinds])
-    theta, strength = np.zeros(len(ids)), prior.copy()
+    start = np.append(first, np.zeros(len(ids) - len(first)))
+    theta, strength = start.copy(), prior.copy()
     squares, strength_squares = np.full(len(ids), 1e-6), np.full(len(kinds), 1e-6)
     n_rows = len(weight)
     for _ in range(rounds):
         z = np.bincount(entry_of, weights=theta[feature_of], minlength=len(row_of)) + agree @ strength
         e = np.exp(np.clip(z, -30, 30))
         d = weight[row_of] * (e / np.bincount(row_of, weights=e, minlength=n_rows)[row_of] - is_true)
-        g = np.bincount(feature_of, weights=d[entry_of], minlength=len(ids)) + 0.1 * theta
+        g = np.bincount(feature_of, weights=d[entry_of], minlength=len(ids)) + 0.1 * (theta - start)
         squares += g * g
         theta -= 0.7 * g / np.sqrt(squares)
         h = agree.T @ d + 0.1 * (strength - prior)

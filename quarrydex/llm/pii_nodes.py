@@ -31,6 +31,12 @@ NEXT = re.compile(r"\s*([^\W_]+|[^\w\s])")
 SENTENCE = re.compile(r"\w{5}[.!?]+\s|\n|\d")
 #: Strengths of the edges before anything is learned.
 STRENGTHS = {"chain": 2.0, "skip": 2.0, "skip_shape": 4.0}
+#: Weights of shapes that are sure by themselves, before anything is learned.
+PRIOR = {
+    "email": {"e0": 2.0, "e1": -2.0},
+    "phone": {f"p{k}": 2.0 for k in P.SURE_PHONE},
+    "id_number": {f"i{k}": 2.0 for k in P.SURE_ID},
+}
 CUES = {"phone": P.PHONE_CUES, "id_number": P.ID_CUES, "address": P.ADDRESS_CUES}
 
 
@@ -38,7 +44,7 @@ CUES = {"phone": P.PHONE_CUES, "id_number": P.ID_CUES, "address": P.ADDRESS_CUES
 class Model:
     """Weights per label and feature, strengths of edges, the lexicon with what the corpus adds to it, and common words."""
 
-    weights: dict[str, dict[str, float]] = field(default_factory=dict)
+    weights: dict[str, dict[str, float]] = field(default_factory=lambda: {x: dict(w) for x, w in PRIOR.items()})
     strengths: dict[str, float] = field(default_factory=lambda: dict(STRENGTHS))
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
