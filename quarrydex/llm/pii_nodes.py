@@ -31,10 +31,10 @@ NEXT = re.compile(r"\s*([^\W_]+|[^\w\s])")
 SENTENCE = re.compile(r"\w{5}[.!?]+\s|\n|\d")
 #: Strengths of the edges before anything is learned.
 STRENGTHS = {"chain": 2.0, "skip": 2.0, "skip_shape": 4.0}
-#: Weights of shapes that are sure by themselves, before anything is learned.
+#: Weights of shapes before anything is learned: larger for those that are sure by themselves.
 PRIOR = {
     "email": {"e0": 2.0, "e1": -2.0},
-    "phone": {f"p{k}": 2.0 for k in P.SURE_PHONE},
+    "phone": {f"p{k}": 2.0 if k in P.SURE_PHONE else 1.0 for k in range(len(P.PHONE))},
     "id_number": {f"i{k}": 2.0 for k in P.SURE_ID},
 }
 CUES = {"phone": P.PHONE_CUES, "id_number": P.ID_CUES, "address": P.ADDRESS_CUES}

@@ -12,7 +12,7 @@ STREET_ES = "calle|plaza|avenida|camino|paseo|carrera|ronda|travesía|glorieta|c
 PARTICLES = frozenset("van von de del della da di den der ten ter la le du dos".split())
 TITLES = frozenset("mr mrs ms miss mx dr prof sir herr frau fräulein m mme mlle monsieur madame señor señora sr sra don doña".split())
 GREETINGS = frozenset("thanks thank dear hello hi danke merci gracias hola bonjour hallo".split())
-PHONE_CUES = frozenset("phone tel telephone fax call cell mobile ring dial telefon anrufen handy mobil appeler téléphone portable teléfono llame móvil".split())
+PHONE_CUES = frozenset("phone tel telephone fax call cell mobile ring reached dial telefon anrufen handy mobil appeler téléphone tél portable teléfono llame móvil".split())
 ID_CUES = frozenset(
     "ssn social security tax national insurance ni identity passport id identité passeport pasaporte identidad dni nif "
     "ausweisnummer steuer personalausweis reisepass identification fiscal".split()
