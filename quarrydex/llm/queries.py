@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrydex.llm import contamination, distinctive, mixture, pii, seen_keys, term_frequency
+from quarrydex.session import shared_dir
 from quarrydex.sources.tables import table
 from quarrydex.streaming.files import stream_table
 
 RARE, COMMON_TERM, COMMON_GRAM = 2, 0.2, 0.02
 
 
-def _marked_probes(spark: SparkSession, d: str) -> DataFrame:
+def _marked_probes(spark: SparkSession, d: str, files: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Marks the probes of ``d``; the stream reads the tables in ``files`` (else those of ``d``), ``max_files`` a micro-batch."""
     own = seen_keys.state_session(spark)
-    history = stream_table(own, d, "kv_log", "key string")
-    probes = stream_table(own, d, "key_probes", "probe_id bigint, key string").select("key", seen_keys.order_of("probe_id").alias("probe_order"))
+    history = stream_table(own, files or d, "kv_log", "key string", max_files)
+    probes = stream_table(own, files or d, "key_probes", "probe_id bigint, key string", max_files).select("key", seen_keys.order_of("probe_id").alias("probe_order"))
     firsts = seen_keys.run_stream(spark, history, probes)
     return seen_keys.mark_probes(table(spark, d, "key_probes"), firsts)
 
@@ -25,6 +27,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _marked_probes(spark, d).where("seen").select("probe_id")
 
 
+def p3_many_batches(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`p3_found`, both tables cut into files that arrive one by one, out of order, history not before probes."""
+    base = shared_dir(spark, "arrivals")
+    for name, columns in (("kv_log", ["key"]), ("key_probes", ["probe_id", "key"])):
+        table(spark, d, name).select(*columns).repartition(4, *columns).write.parquet(f"{base}/{name}.parquet")
+    return _marked_probes(spark, d, base, 1).where("seen").select("probe_id")
+
+
 def p3_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
     """The rate of wrong answers of :func:`p3_found`, against two batch joins."""
     truth = seen_keys.exact_answers(table(spark, d, "kv_log").select("key"), table(spark, d, "key_probes"))
@@ -164,7 +174,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_wrong_rate, p3_filter_audit, p4_found, p4_terms, p4_grams, p5_method, p5_found, p5_top_terms,
+        p3_found, p3_many_batches, p3_wrong_rate, p3_filter_audit, p4_found, p4_terms, p4_grams, p5_method, p5_found, p5_top_terms,
         p6_found, p6_templates, p6_template_members, p7_found, p7_mixture, p7_shares, p7_overlap_shares, p8_method, p8_found, p8_redacted,
     )
 }
@@ -195,8 +205,27 @@ s AS (SELECT doc_id, term, tf, records, round(pd * ln(pd / pc), 6) AS score FROM
 
 ORACLE = {
     "p3_found": f"WITH {_P3} SELECT probe_id FROM a WHERE seen",
-    "p3_wrong_rate": f"""WITH {_P3} SELECT count(*) AS probes, count(*) FILTER (seen) AS repeats, count(*) FILTER (NOT seen) AS firsts,
-0::BIGINT AS false_repeats, 0::BIGINT AS false_firsts, 0::DOUBLE AS wrong_rate FROM a""",
+    "p3_many_batches": f"WITH {_P3} SELECT probe_id FROM a WHERE seen",
+    "p3_wrong_rate": f"""WITH {_P3},
+w AS (SELECT probe_id, row_number() OVER (PARTITION BY key ORDER BY old DESC, probe_id) > 1 AS seen FROM (
+  SELECT probe_id, key, 0 AS old FROM key_probes WHERE key IS NOT NULL UNION ALL SELECT DISTINCT NULL, key, 1 FROM kv_log WHERE key IS NOT NULL) QUALIFY probe_id IS NOT NULL),
+c AS (SELECT a.seen AS got, w.seen AS want FROM a JOIN w USING (probe_id))
+SELECT count(*) AS probes, count(*) FILTER (got) AS repeats, count(*) FILTER (NOT got) AS firsts, count(*) FILTER (got AND NOT want) AS false_repeats,
+count(*) FILTER (NOT got AND want) AS false_firsts, count(*) FILTER (got <> want)::DOUBLE / count(*) AS wrong_rate FROM c""",
+    "p3_filter_audit": """
+WITH f AS (SELECT * FROM segment_blooms WHERE segment_id IS NOT NULL),
+asked AS (SELECT DISTINCT key FROM key_probes WHERE key IS NOT NULL),
+own AS (SELECT DISTINCT segment_id, key FROM kv_log WHERE key IS NOT NULL AND segment_id IS NOT NULL),
+h1 AS (SELECT key, list_reduce(list_transform(range(0, length(hex(key)) // 2), lambda i: ('0x' || substr(hex(key), 2 * i + 1, 2))::HUGEINT),
+  lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS a FROM (SELECT key FROM asked UNION SELECT key FROM own)),
+h2 AS (SELECT key, a, xor(a >> 33, (a * 1791791791) % 18446744073709551616) AS b FROM h1),
+h AS (SELECT key, a, CASE WHEN b = 0 THEN 1791791791 ELSE b END AS b FROM h2),
+pairs AS (SELECT segment_id, key, true AS mine FROM own UNION ALL SELECT segment_id, key, false FROM f, asked WHERE (segment_id, key) NOT IN (SELECT segment_id, key FROM own)),
+places AS (SELECT p.*, bits, a % m_bits AS i, b % m_bits AS j FROM pairs p JOIN f USING (segment_id) JOIN h USING (key)),
+words AS (SELECT segment_id, mine, i, j, bits[(i // 64 + 1)::BIGINT]::HUGEINT AS wi, bits[(j // 64 + 1)::BIGINT]::HUGEINT AS wj FROM places),
+answers AS (SELECT segment_id, mine, coalesce(((wi + 18446744073709551616) >> (i % 64)::INT) % 2 = 1, true) AND coalesce(((wj + 18446744073709551616) >> (j % 64)::INT) % 2 = 1, true) AS maybe FROM words)
+SELECT segment_id, count(*) FILTER (mine) AS own_keys, count(*) FILTER (mine AND NOT maybe) AS false_no, count(*) FILTER (NOT mine) AS strangers, count(*) FILTER (NOT mine AND maybe) AS false_maybe
+FROM answers GROUP BY segment_id""",
     "p4_found": f"WITH {_TERMS}, {_GRAMS} SELECT 'term' AS field, item, mark FROM terms WHERE mark IS NOT NULL UNION ALL SELECT 'gram', item, mark FROM grams WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_TERMS} SELECT * FROM terms",
     "p4_grams": f"WITH {_GRAMS} SELECT * FROM grams",

@@ -5,7 +5,12 @@ RocksDB: whether the key is in the history, and the first probe that had it. The
 on disk, is bounded in memory by RocksDB's shared cache, survives the loss of an executor
 through its checkpoint in the shared folder, and never expires (there is no watermark).
 Rows are combined per key before they are shuffled to the state, so a hot key costs one row per task.
-Each micro-batch emits those probes that were first; all other probes are repeats.
+
+Each micro-batch emits, for every key it touched that has probes, the state's answer: the first
+probe, and whether there is history (then even the first is a repeat). Both only ever move one way,
+so an answer that a later batch takes back (its history or an earlier probe came late) is overruled by
+that batch's row, and the last answers are exact however files are cut into batches. A probe is a first
+if the state names it, else a repeat; rows are matched to the answers by key and id, never gathered by key.
 """
 
 from __future__ import annotations
@@ -44,13 +49,16 @@ def order_of(id_column: str):
     return F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST))
 
 
+#: What the stream emits for a key: whether it has history, its first probe.
+ANSWERS = "key string, old int, first bigint"
+
+
 def first_probes(history: DataFrame, probes: DataFrame, checkpoint: str, out: str) -> DataFrame:
-    """Runs the stream until its sources are exhausted; ``key, first`` of each key's first probe.
+    """Runs the stream until its sources are exhausted; ``key, first`` of the keys without history.
 
     ``history`` (``key``) and ``probes`` (``key, probe_order``) are streaming DataFrames of a
-    :func:`state_session`. Only keys without history are emitted. A key may be emitted by
-    several micro-batches (a later file may hold an earlier probe), hence the final minimum.
-    Run again with the same ``checkpoint`` and ``out``, it goes on where it stopped.
+    :func:`state_session`, cut into micro-batches as their sources say. Run again with the
+    same ``checkpoint`` and ``out``, it goes on where it stopped; a micro-batch that is run again replaces what it emitted.
     """
     rows = history.select("key", F.lit(1).alias("old"), F.lit(None).cast("bigint").alias("probe_order")).unionAll(
         probes.select("key", F.lit(0).alias("old"), "probe_order")
@@ -58,15 +66,17 @@ def first_probes(history: DataFrame, probes: DataFrame, checkpoint: str, out: st
     flags = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("old").alias("old"), F.min("probe_order").alias("first"))
 
     def emit(batch: DataFrame, number: int) -> None:
-        new = batch.where((F.col("old") == 0) & F.col("first").isNotNull()).select("key", "first")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.where(F.col("first").isNotNull()).select("key", "old", "first").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = flags.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(emit).start()
     query.awaitTermination()
-    return (
-        history.sparkSession.read.schema("key string, first bigint, batch int").parquet(out)
-        .groupBy("key").agg(F.min("first").alias("first"))
-    )
+    return last_answers(history.sparkSession, out)
+
+
+def last_answers(spark: SparkSession, out: str) -> DataFrame:
+    """``key, first`` of the keys without history, after everything the stream has emitted."""
+    emitted = spark.read.schema(f"{ANSWERS}, batch int").parquet(out)
+    return emitted.groupBy("key").agg(F.max("old").alias("old"), F.min("first").alias("first")).where("old = 0").select("key", "first")
 
 
 def mark_probes(probes: DataFrame, firsts: DataFrame, key: str = "key", probe_id: str = "probe_id") -> DataFrame:
@@ -192,4 +202,4 @@ def run_stream(spark: SparkSession, history: DataFrame, probes: DataFrame) -> Da
     """:func:`first_probes` with new state in the session's shared folder, read back in ``spark``."""
     base = shared_dir(spark, "seen-keys")
     first_probes(history, probes, f"{base}/state", f"{base}/firsts")
-    return spark.read.schema("key string, first bigint, batch int").parquet(f"{base}/firsts").groupBy("key").agg(F.min("first").alias("first"))
+    return last_answers(spark, f"{base}/firsts")
