@@ -10,7 +10,6 @@ driver. Documents are then selected by a seeded hash until the flow's tokens are
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -25,8 +24,8 @@ from quarrydex.session import ensure_checkpoint_dir
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Patterns that may come to the driver; more are refused, never dropped.
 MAX_PATTERNS = 100_000
-#: Slices of a pattern's documents in seeded order, for the running token count.
-SLICES = 4096
+#: Documents of a slice of a pattern's seeded order, for the running token count.
+SLICE_ROWS = 50_000
 
 _encoders: dict[str, object] = {}
 
@@ -100,49 +99,109 @@ def read_targets(df: DataFrame) -> list[Target]:
 
 
 class _Flow:
-    """Successive shortest paths; capacities are integers, costs small integers."""
+    """A network with integer capacities and maximum flows by blocking flows; flows stay when capacities are raised."""
 
     def __init__(self, n: int) -> None:
-        self.edges: list[list[int]] = []  # to, capacity, cost
+        self.to: list[int] = []
+        self.capacity: list[int] = []
         self.out: list[list[int]] = [[] for _ in range(n)]
 
-    def edge(self, a: int, b: int, capacity: int, cost: int) -> int:
-        self.out[a].append(len(self.edges))
-        self.edges.append([b, capacity, cost])
-        self.out[b].append(len(self.edges))
-        self.edges.append([a, 0, -cost])
-        return len(self.edges) - 2
-
-    def run(self, s: int, t: int) -> None:
-        n = len(self.out)
-        potential = [0] * n
+    def edge(self, a: int, b: int, capacity: int) -> int:
+        e = len(self.to)
+        self.to += [b, a]
+        self.capacity += [capacity, 0]
+        self.out[a].append(e)
+        self.out[b].append(e + 1)
+        return e
+
+    def reaching(self, t: int) -> list[bool]:
+        """Nodes from which more could flow to ``t``."""
+        seen, queue = [False] * len(self.out), [t]
+        seen[t] = True
+        for b in queue:
+            for e in self.out[b]:
+                a = self.to[e]
+                if not seen[a] and self.capacity[e ^ 1]:
+                    seen[a] = True
+                    queue.append(a)
+        return seen
+
+    def push(self, s: int, t: int) -> int:
+        """Makes the flow from ``s`` to ``t`` maximal; returns what was added."""
+        to, capacity, out, added = self.to, self.capacity, self.out, 0
         while True:
-            far = [None] * n
-            far[s], via, queue = 0, [-1] * n, [(0, s)]
-            while queue:
-                d, a = heapq.heappop(queue)
-                if d > far[a]:
+            depth = [-1] * len(out)
+            depth[s], queue = 0, [s]
+            for a in queue:
+                for e in out[a]:
+                    if capacity[e] and depth[to[e]] < 0:
+                        depth[to[e]] = depth[a] + 1
+                        queue.append(to[e])
+            if depth[t] < 0:
+                return added
+            at, path, a = [0] * len(out), [], s
+            while True:
+                if a == t:
+                    n = min(capacity[e] for e in path)
+                    added += n
+                    for e in path:
+                        capacity[e] -= n
+                        capacity[e ^ 1] += n
+                    full = next(i for i, e in enumerate(path) if not capacity[e])
+                    a = to[path[full] ^ 1]
+                    del path[full:]
                     continue
-                for e in self.out[a]:
-                    b, capacity, cost = self.edges[e]
-                    if capacity > 0 and (far[b] is None or d + cost + potential[a] - potential[b] < far[b]):
-                        far[b] = d + cost + potential[a] - potential[b]
-                        via[b] = e
-                        heapq.heappush(queue, (far[b], b))
-            if far[t] is None:
-                return
-            potential = [p + (f or 0) for p, f in zip(potential, far)]
-            push, b = None, t
-            while b != s:
-                e = via[b]
-                push = self.edges[e][1] if push is None else min(push, self.edges[e][1])
-                b = self.edges[e ^ 1][0]
-            b = t
-            while b != s:
-                e = via[b]
-                self.edges[e][1] -= push
-                self.edges[e ^ 1][1] += push
-                b = self.edges[e ^ 1][0]
+                edges = out[a]
+                while at[a] < len(edges) and not (capacity[edges[at[a]]] and depth[to[edges[at[a]]]] == depth[a] + 1):
+                    at[a] += 1
+                if at[a] < len(edges):
+                    path.append(edges[at[a]])
+                    a = to[edges[at[a]]]
+                elif path:
+                    a = to[path.pop() ^ 1]
+                    at[a] += 1
+                else:
+                    break
+
+
+def _cheapest(flow: _Flow, sources: list[tuple[int, int, int]], s: int, t: int) -> None:
+    """A maximum flow whose cost is least when the k-th use of a source edge costs k.
+
+    ``sources`` are ``(edge, amount of one use, most uses)``. Only source edges cost anything and costs
+    rise, so the flow is found use by use: all k-th uses before any k+1-th. Uses that all edges
+    still open can take in full are granted many at once. An edge from which nothing more can reach ``t``
+    after a round never can again, so the rounds end after as many as there are bottlenecks.
+    """
+    used = [0] * len(sources)
+    while True:
+        open_ = flow.reaching(t)
+        live = [i for i, (e, n, most) in enumerate(sources) if used[i] < most and open_[flow.to[e]]]
+        if not live:
+            return
+        whole = sum(sources[i][1] for i in live)
+        before = list(flow.capacity)
+
+        def grant(uses: int) -> bool:
+            """Whether everything flows if each open edge is used so often more."""
+            flow.capacity[:] = before
+            for i in live:
+                flow.capacity[sources[i][0]] += uses * sources[i][1]
+            return flow.push(s, t) == uses * whole
+
+        low, high = 0, min(sources[i][2] - used[i] for i in live)
+        best = None
+        while low < high:  # the most uses that flow in full
+            n = (low + high + 1) // 2 if best or low else high
+            if grant(n):
+                low, best = n, list(flow.capacity)
+            else:
+                high = n - 1
+        if low:
+            flow.capacity[:] = best
+        else:
+            grant(1)
+        for i in live:
+            used[i] += max(low, 1)
 
 
 def plan_mixture(patterns: dict[tuple[str, ...], int], targets: list[Target], total: int) -> Plan:
@@ -150,7 +209,7 @@ def plan_mixture(patterns: dict[tuple[str, ...], int], targets: list[Target], to
 
     A pattern's tokens can be used once for each repetition its most generous source
     allows; a source takes them at most as often as it allows itself. The k-th
-    use costs k. Exact: all amounts are scaled to integers.
+    use costs k, for every k. Exact: all amounts are scaled to integers.
     """
     wanted = {t.source: t for t in targets}
     scale = 1
@@ -159,21 +218,17 @@ def plan_mixture(patterns: dict[tuple[str, ...], int], targets: list[Target], to
     live = [(p, n) for p, n in sorted(patterns.items()) if n > 0 and any(s in wanted for s in p)]
     source_at = {t.source: 2 + len(live) + i for i, t in enumerate(targets)}
     flow = _Flow(2 + len(live) + len(targets))
-    routes = {}
+    routes, sources = {}, []
     for i, (pattern, n) in enumerate(live):
         mine = [s for s in pattern if s in wanted]
-        most = max(wanted[s].max_repeats for s in mine)
-        for k in range(1, min(most, 64) + 1):
-            flow.edge(0, 2 + i, n * scale, k)
-        if most > 64:  # the cost still rises, no further by each use
-            flow.edge(0, 2 + i, n * scale * (most - 64), 65)
+        sources.append((flow.edge(0, 2 + i, 0), n * scale, max(wanted[s].max_repeats for s in mine)))
         for s in mine:
             capacity = n * scale * wanted[s].max_repeats
-            routes[pattern, s] = flow.edge(2 + i, source_at[s], capacity, 0), capacity
-    quotas = {t.source: flow.edge(source_at[t.source], 1, int(t.share * scale * total), 0) for t in targets}
-    flow.run(0, 1)
-    routed = {k: Fraction(capacity - flow.edges[e][1], scale) for k, (e, capacity) in routes.items()}
-    short = {s: Fraction(flow.edges[e][1], scale) for s, e in quotas.items()}
+            routes[pattern, s] = flow.edge(2 + i, source_at[s], capacity), capacity
+    quotas = {t.source: flow.edge(source_at[t.source], 1, int(t.share * scale * total)) for t in targets}
+    _cheapest(flow, sources, 0, 1)
+    routed = {k: Fraction(capacity - flow.capacity[e], scale) for k, (e, capacity) in routes.items()}
+    short = {s: Fraction(flow.capacity[e], scale) for s, e in quotas.items()}
     return Plan(routed, short, total, {t.source: t.max_repeats for t in targets})
 
 
@@ -232,7 +287,7 @@ def select_documents(sized: DataFrame, plan: Plan, seed: int = 0) -> DataFrame:
     sizes = {}
     for (pattern, s), n in plan.routed.items():
         sizes.setdefault(pattern, []).append((s, n))
-    total = sized.groupBy("pattern").agg(F.sum("tokens").alias("size"))
+    total = sized.groupBy("pattern").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("documents"))
     rows, at = [], {}
     for pattern, parts in sizes.items():
         begin = Fraction(0)
@@ -242,12 +297,13 @@ def select_documents(sized: DataFrame, plan: Plan, seed: int = 0) -> DataFrame:
         at[pattern] = begin
     quota = spark.createDataFrame(rows, "pattern array<string>, source string, begin double, upto double")
     h = F.xxhash64("doc_id", F.lit(seed))
-    docs = sized.drop("source").withColumn("h", h).withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    slices_of = F.ceil(F.col("documents") / SLICE_ROWS)  # as many as the pattern's documents need
+    docs = sized.drop("source").join(F.broadcast(total), "pattern").withColumn("h", h).withColumn("slice", F.pmod("h", slices_of)).drop("documents")
     slices = docs.groupBy("pattern", "slice").agg(F.sum("tokens").alias("slice_tokens"))
     before = slices.withColumn("before", F.sum("slice_tokens").over(Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slice_tokens"))
     inside = Window.partitionBy("pattern", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        docs.withColumn("end_", F.sum("tokens").over(inside)).join(before.drop("slice_tokens"), ["pattern", "slice"]).join(F.broadcast(total), "pattern")
+        docs.withColumn("end_", F.sum("tokens").over(inside)).join(before.drop("slice_tokens"), ["pattern", "slice"])
         .withColumn("high", F.col("before") + F.col("end_"))
     )
     # Laps over the documents: a document's end on the k-th lap is high + k x size; it is used for the source whose stretch holds it.

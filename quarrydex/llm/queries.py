@@ -142,13 +142,33 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report_shares(used, targets)
 
 
-def p7_overlap_shares(spark: SparkSession, d: str) -> DataFrame:
-    """As :func:`p7_shares`, each distinct text counting for any of the sources that hold a copy."""
+def p7_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: whether it falls short, and whether its tokens come within one document of what it is due."""
+    sized, targets, plan = _mixture(spark, d)
+    used = mixture.select_documents(sized, plan)
+    due = spark.createDataFrame([(t.source, float(sum((n for (_, s), n in plan.routed.items() if s == t.source), 0)), plan.short[t.source] > 0) for t in targets], "source string, due double, short boolean")
+    largest = sized.groupBy("source").agg(F.max("tokens").alias("largest"))
+    got = mixture.report_shares(used, targets).select("source", "target_share", "tokens_used")
+    return got.join(due, "source").join(largest, "source", "left").select(
+        "source", "target_share", "short", (F.abs(F.col("tokens_used") - F.col("due")) <= F.coalesce("largest", F.lit(0))).alias("within"),
+    )
+
+
+def _overlap(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixture.Target]]:
     targets = mixture.read_targets(table(spark, d, "mix_targets"))
     sized = mixture.kept(mixture.overlapping_documents(table(spark, d, "documents"), targets))
     patterns = mixture.pattern_sizes(sized)
-    plan = mixture.plan_mixture(patterns, targets, sum(patterns.values()))
-    return mixture.report_shares(mixture.select_documents(sized, plan), targets)
+    return mixture.select_documents(sized, mixture.plan_mixture(patterns, targets, sum(patterns.values()))), targets
+
+
+def p7_overlap_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each distinct text is used for which of the sources that hold a copy."""
+    return _overlap(spark, d)[0].select("doc_id", "source", F.array_join("pattern", " ").alias("pattern"), "tokens", "uses")
+
+
+def p7_overlap_shares(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`p7_shares`, each distinct text counting for any of the sources that hold a copy."""
+    return mixture.report_shares(*_overlap(spark, d))
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
@@ -175,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_found, p3_many_batches, p3_wrong_rate, p3_filter_audit, p4_found, p4_terms, p4_grams, p5_method, p5_found, p5_top_terms,
-        p6_found, p6_templates, p6_template_members, p7_found, p7_mixture, p7_shares, p7_overlap_shares, p8_method, p8_found, p8_redacted,
+        p6_found, p6_templates, p6_template_members, p7_found, p7_mixture, p7_shares, p7_quotas, p7_overlap_mixture, p7_overlap_shares, p8_method, p8_found, p8_redacted,
     )
 }
 
@@ -203,7 +223,15 @@ n AS (SELECT sum(tf) AS n FROM p),
 m AS (SELECT p.*, records, (tf + 100.0::DOUBLE * (cf / n)) / (length + 100.0::DOUBLE) AS pd, cf / n AS pc FROM p JOIN c USING (term) JOIN l USING (doc_id), n WHERE records >= 2),
 s AS (SELECT doc_id, term, tf, records, round(pd * ln(pd / pc), 6) AS score FROM m)"""
 
+# Words and signs stand for tokens: any usual tokenizer gives the same list of sources.
+_P7 = """
+d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n FROM documents),
+z AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(n), 0) AS size FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY ALL),
+q AS (SELECT source, target_share, size * max_repeats < target_share * (SELECT sum(size) FROM z) AS short FROM z)"""
+
 ORACLE = {
+    "p7_found": f"WITH {_P7} SELECT source FROM q WHERE short",
+    "p7_quotas": f"WITH {_P7} SELECT source, target_share, short, true AS within FROM q",
     "p3_found": f"WITH {_P3} SELECT probe_id FROM a WHERE seen",
     "p3_many_batches": f"WITH {_P3} SELECT probe_id FROM a WHERE seen",
     "p3_wrong_rate": f"""WITH {_P3},

@@ -38,6 +38,93 @@ def test_overlap_and_convex_costs():
     assert plan.routed[("a",), "a"] == 900
 
 
+def cheapest_by_paths(patterns, targets, total):
+    """Least cost by single units: each is sent along a path to the pattern with the fewest uses that can take it (small cases)."""
+    wanted = {t.source: t for t in targets}
+    left = {t.source: int(t.share * total) for t in targets}
+    units = {p: n for p, n in patterns.items()}
+    flow = {(p, s): 0 for p in patterns for s in p}
+    cap = {(p, s): patterns[p] * wanted[s].max_repeats for p, s in flow}
+
+    def path(p):
+        queue, came = [("p", p)], {("p", p): None}
+        for kind, x in queue:
+            nexts = [("s", s) for s in x if flow[x, s] < cap[x, s]] if kind == "p" else [("p", y) for y in patterns if x in y and flow[y, x]]
+            if kind == "s" and left[x]:
+                out, at = [], (kind, x)
+                while at:
+                    out.append(at)
+                    at = came[at]
+                return out[::-1]
+            for y in nexts:
+                if y not in came:
+                    came[y] = (kind, x)
+                    queue.append(y)
+        return None
+
+    cost = 0
+    for k in range(1, 1 + max(t.max_repeats for t in targets)):
+        for p in patterns:
+            for _ in range(units[p] if k <= max(wanted[s].max_repeats for s in p) else 0):
+                if not (way := path(p)):
+                    break
+                for (ka, x), (_, y) in zip(way, way[1:]):
+                    if ka == "p":
+                        flow[x, y] += 1
+                    else:
+                        flow[y, x] -= 1
+                left[way[-1][1]] -= 1
+                cost += k
+    return cost, left
+
+
+def cost_of(plan, patterns):
+    out = 0
+    for p, n in patterns.items():
+        uses = sum((v for (q, _), v in plan.routed.items() if q == p), Fr(0))
+        k = 1
+        while uses > 0 and n:
+            out += k * min(n, uses)
+            uses -= n
+            k += 1
+    return out
+
+
+def test_flow_is_cheapest():
+    r = random.Random(11)
+    for _ in range(150):
+        names = [f"s{i}" for i in range(r.randrange(1, 5))]
+        targets = [M.Target(n, Fr(1, len(names)), r.randrange(0, 4)) for n in names]
+        patterns = {tuple(sorted(r.sample(names, r.randrange(1, len(names) + 1)))): r.randrange(1, 12) for _ in range(r.randrange(1, 6))}
+        total = len(names) * r.randrange(1, 15)
+        plan = M.plan_mixture(patterns, targets, total)
+        cost, left = cheapest_by_paths(patterns, targets, total)
+        assert sum(plan.short.values()) == sum(left.values()) and cost_of(plan, patterns) == cost
+
+
+def test_costs_rise_without_end():
+    """Far beyond 64 uses, the larger repetition still goes to nobody alone."""
+    plan = M.plan_mixture({("a",): 1, ("a", "b"): 1}, [target("a", 1, 10**6)], 10**6)
+    assert plan.routed[("a",), "a"] == plan.routed[("a", "b"), "a"] == 500_000
+    # b takes its share from the shared pattern; what is left of a is spread evenly.
+    plan = M.plan_mixture({("a",): 3, ("a", "b"): 3}, [target("a", 0.75, 1000), target("b", 0.25, 1000)], 1200)
+    assert plan.routed[("a", "b"), "b"] == 300 and plan.routed[("a",), "a"] == 600 and plan.routed[("a", "b"), "a"] == 300
+
+
+def test_many_patterns():
+    import time
+
+    r = random.Random(3)
+    names = [f"s{i:02d}" for i in range(40)]
+    patterns = {tuple(sorted(r.sample(names, r.randrange(1, 5)))): r.randrange(1, 10**9) for _ in range(10_000)}
+    targets = [M.Target(n, Fr(i + 1, 820), r.choice([1, 4, 100])) for i, n in enumerate(names)]
+    began = time.process_time()
+    plan = M.plan_mixture(patterns, targets, 3 * sum(patterns.values()))
+    assert time.process_time() - began < 60
+    for t in targets:
+        assert sum((v for (_, s), v in plan.routed.items() if s == t.source), Fr(0)) + plan.short[t.source] == t.share * plan.total
+
+
 def documents(spark):
     r = random.Random(2)
     rows = []
