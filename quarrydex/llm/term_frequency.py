@@ -7,8 +7,9 @@ outgrows its capacity bursts into a node with one leaf per next byte, so that pr
 only where terms are dense. Tasks send their tries as subtrees, cut at adaptive prefixes, front-coded
 into compact blobs; subtrees of the same prefix meet in one task and are merged one by one.
 
-The routing prefixes are the same for all tasks: a prefix is lengthened while its terms
-would outweigh ``ROUTE_WEIGHT`` rows, by counts over all the data.
+The routing prefixes are the same for all tasks. By counts over all distinct terms, a prefix of more than
+``ROUTE_WEIGHT`` terms is lengthened past the bytes that all its terms share, again and again until no
+prefix holds more, so that terms with a long common beginning spread like any others.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrydex.session import shared_dir
+
 #: Suffixes that a leaf holds before it bursts.
 CAPACITY = 512
-#: Longest routing prefix in bytes, and the distinct terms above which a prefix is lengthened.
-ROUTE_BYTES = 6
-ROUTE_WEIGHT = 20_000
+#: Distinct terms above which a prefix is lengthened, and how many prefixes of so many terms there may be (beyond, they hold more terms each).
+ROUTE_WEIGHT, MAX_ROUTES = 20_000, 50_000
 #: Distinct terms a task holds before it sends its trie on and starts another.
 TASK_TERMS = 500_000
 
@@ -118,15 +120,15 @@ def unpack(blob: bytes) -> Iterator[tuple[bytes, int, int]]:
         yield last, occurrences, records
 
 
-def route(term: bytes, longer: frozenset[bytes]) -> bytes:
-    """The shortest prefix that isn't to be lengthened; the whole term if all are."""
+def route(term: bytes, longer: dict[bytes, int]) -> bytes:
+    """The term's routing prefix: ``longer`` says of a prefix that is too heavy how long the next one is; the whole term if it is shorter."""
     n = 1
-    while n < len(term) and term[:n] in longer:
-        n += 1
+    while len(term) > n and (more := longer.get(term[:n])):
+        n = more
     return term[:n]
 
 
-def _counter(longer: frozenset[bytes]):
+def _counter(longer: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie()
 
@@ -193,23 +195,38 @@ def _result(terms: list, occurrences: list, records: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], names=["item", "occurrences", "records"])
 
 
-def routing_prefixes(pairs: DataFrame, weight: int = ROUTE_WEIGHT) -> frozenset[bytes]:
-    """Prefixes with more than ``weight`` rows of distinct terms, to be lengthened.
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def routing_prefixes(terms: DataFrame, weight: int | None = None) -> dict[bytes, int]:
+    """Prefixes of more than ``weight`` distinct terms of the column ``term`` -> length of the next prefix.
 
-    Counted over all terms; at most (rows / weight) x ROUTE_BYTES prefixes come to the
-    driver, and beyond 100,000 the weight is doubled until they are fewer.
+    The distinct terms are written to the shared folder once; each round then counts the terms of the prefixes
+    that were too heavy in the round before. The smallest and the largest term of a prefix tell
+    what all its terms share, so a round always splits, and there are few rounds. Each round brings at most
+    MAX_ROUTES prefixes to the driver.
     """
-    terms = pairs.select(F.encode("term", "UTF-8").alias("t")).distinct()
-    each = F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(ROUTE_BYTES))), lambda n: F.substring("t", F.lit(1), n))
-    counts = terms.where(F.length("t") > 0).select(F.explode(each).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > weight)
+    spark, path = terms.sparkSession, shared_dir(terms.sparkSession, "vocabulary")
+    terms.select(F.encode("term", "UTF-8").alias("t")).where(F.length("t") > 0).distinct().write.parquet(path)
+    level = spark.read.schema("t binary").parquet(path)
+    weight = max(weight or ROUTE_WEIGHT, level.count() // MAX_ROUTES)
+    level, longer = level.withColumn("n", F.lit(1)), {}
     while True:
-        found = counts.where(F.col("n") > weight).limit(100_001).collect()
-        if len(found) <= 100_000:
-            return frozenset(bytes(r.p) for r in found)
-        weight *= 2
+        cut = level.where(F.length("t") > F.col("n")).withColumn("p", F.substring("t", F.lit(1), F.col("n")))
+        heavy = cut.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("k") > weight).collect()
+        if not heavy:
+            return longer
+        fresh = {bytes(r.p): max(_shared(bytes(r.a), bytes(r.b)), len(r.p)) + 2 for r in heavy}
+        longer |= fresh
+        level = cut.drop("n").join(F.broadcast(spark.createDataFrame(list(fresh.items()), "p binary, n int")), "p").select("t", "n")
 
 
-def count_terms(df: DataFrame, term: str, record: str, place: str | None = None) -> DataFrame:
+def count_terms(df: DataFrame, term: str, record: str, place: str | None = None, weight: int | None = None) -> DataFrame:
     """``item, occurrences, records`` of every distinct term.
 
     ``occurrences``: distinct ``place`` values within records, so that repeated rows count
@@ -224,7 +241,7 @@ def count_terms(df: DataFrame, term: str, record: str, place: str | None = None)
     if place:
         rows = rows.distinct()
     pairs = rows.groupBy("record", "term").agg(F.count(F.lit(1)).alias("n") if place else F.lit(1).cast("bigint").alias("n")).select("term", "n")
-    longer = routing_prefixes(df.where(F.col(term).isNotNull() & F.col(record).isNotNull()).select(F.col(term).alias("term")))
+    longer = routing_prefixes(df.where(F.col(term).isNotNull() & F.col(record).isNotNull()).select(F.col(term).alias("term")), weight)
     tries = pairs.mapInArrow(_counter(longer), "prefix binary, subtree binary")
     merged = tries.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_merge, "item binary, occurrences bigint, records bigint")
     return merged.withColumn("item", F.col("item").cast("string"))

@@ -22,8 +22,8 @@ def test_trie_counts_and_sorts(terms, capacity):
 
 
 def test_routes_agree():
-    longer = frozenset({b"a", b"ab"})
-    assert [route(t, longer) for t in (b"abc", b"ab", b"a", b"b", b"", b"ax")] == [b"abc", b"ab", b"a", b"b", b"", b"ax"]
+    longer = {b"a": 2, b"ab": 5}
+    assert [route(t, longer) for t in (b"abcdef", b"abc", b"ab", b"a", b"b", b"", b"ax", b"axy")] == [b"abcde", b"abc", b"ab", b"a", b"b", b"", b"ax", b"ax"]
 
 
 def brute(rows):
@@ -51,12 +51,15 @@ def test_against_brute_force(spark):
 
 
 def test_long_routes_merge(spark):
-    rows = [(i % 9, i, f"prefix{i % 500:03d}") for i in range(3000)]
+    """Terms with a long common beginning spread, and the counts are those of any other routing."""
+    rows = [(i % 9, i, f"https://www.example.org/a/long/path/to/{'x' * (i % 2) * 300}page-{i % 500:03d}") for i in range(3000)] + [(1, -1, "h"), (1, -2, "https:/")]
     df = spark.createDataFrame(rows, "doc_id bigint, pos int, term string").repartition(5)
-    prefixes = routing_prefixes(df.select("term"), weight=20)
-    assert b"prefix"[:3] in prefixes and all(len(p) <= 6 for p in prefixes)
-    got = {x.item: (x.occurrences, x.records) for x in count_terms(df, "term", "doc_id", "pos").collect()}
-    assert got == brute(rows)
+    longer = routing_prefixes(df.select("term"), weight=20)
+    shares = Counter(route(t.encode(), longer) for t in {t for _, _, t in rows})
+    assert max(shares.values()) <= 20 and len(shares) > 25 and max(len(p) for p in shares) > 300
+    for weight in (20, 1, None):
+        got = {x.item: (x.occurrences, x.records) for x in count_terms(df, "term", "doc_id", "pos", weight).collect()}
+        assert got == brute(rows)
 
 
 def test_empty(spark):
