@@ -110,10 +110,8 @@ def p6_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_template_members(spark: SparkSession, d: str) -> DataFrame:
-    """Which test items share the templates found in documents, and how many documents hold each template."""
-    documents, items = _texts(spark, d)
-    found = contamination.template_leaks(documents, items).groupBy("template_item").agg(F.count(F.lit(1)).alias("documents"))
-    return contamination.template_members(items).join(found, "template_item")
+    """Which test items share a template window with each representative of :func:`p6_templates`."""
+    return contamination.template_members(_texts(spark, d)[1])
 
 
 def _mixture(spark: SparkSession, d: str, keep: bool = True) -> tuple[DataFrame, list[mixture.Target], mixture.Plan]:
