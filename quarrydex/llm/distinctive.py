@@ -25,21 +25,26 @@ def record_terms(df: DataFrame, record: str, term: str, place: str) -> DataFrame
     return rows.repartition("record", "term").distinct().groupBy("record", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _kept(pairs: DataFrame) -> DataFrame:
-    """``pairs`` as a table in the shared folder: lengths, term counts, their total and the scores all read it."""
-    path = shared_dir(pairs.sparkSession, "record-terms")
-    pairs.write.parquet(path)
-    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
+#: Rows and bytes of keys of a table that is sent to every task for a join; a larger one is joined by a shuffle.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 32_000_000
 
 
-def with_collection(pairs: DataFrame, min_records: int = 1) -> DataFrame:
-    """Adds ``records`` (that hold the term) and ``cf`` (occurrences in the collection); terms in fewer than ``min_records`` records go.
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for what reads it more than once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _join_by(pairs: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Joins statistics of a key to all pairs: sent to every task if they are measured to be small, else by a shuffle whose hot keys adaptive execution splits."""
+    n = stats.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes")).first()
+    return pairs.join(F.broadcast(stats) if n.rows <= SMALL_ROWS and n.bytes <= SMALL_BYTES else stats, key)
 
-    Term counts combine partially; the join on term is left to adaptive execution, which
-    splits the partitions of hot terms.
-    """
-    terms = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("records"), F.sum("tf").alias("cf"))
-    return pairs.join(terms.where(F.col("records") >= min_records), "term")
+
+def term_statistics(pairs: DataFrame) -> DataFrame:
+    """``term, records, cf``: records that hold the term, and its occurrences in the collection; combined before they are shuffled."""
+    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("records"), F.sum("tf").alias("cf"))
 
 
 def score_terms(df: DataFrame, record: str, term: str, place: str, mu: float = MU, min_records: int = 2) -> DataFrame:
@@ -50,18 +55,26 @@ def score_terms(df: DataFrame, record: str, term: str, place: str, mu: float = M
     """
     if mu <= 0:
         raise ValueError("mu must be positive")
-    pairs = _kept(record_terms(df, record, term, place))
-    lengths = pairs.groupBy("record").agg(F.sum("tf").alias("length"))
+    pairs = _kept(record_terms(df, record, term, place), "record-terms")
+    lengths = _kept(pairs.groupBy("record").agg(F.sum("tf").alias("length")), "record-lengths")
     total = lengths.agg(F.sum("length").cast("double")).scalar()
+    terms = _kept(term_statistics(pairs).where(F.col("records") >= min_records), "term-statistics")
     p = F.col("cf") / total
     pd = (F.col("tf") + F.lit(mu) * p) / (F.col("length") + F.lit(mu))
-    scored = with_collection(pairs, min_records).join(lengths, "record")
+    scored = _join_by(_join_by(pairs, terms, "term"), lengths, "record")
     return scored.select("record", "term", "tf", "records", (pd * F.log(pd / p)).alias("score"))
 
 
 def standing_out(df: DataFrame, record: str, term: str, place: str) -> DataFrame:
-    """``record, term``: pairs with 2 tf >= 3 records, by the same statistics."""
-    return with_collection(record_terms(df, record, term, place)).where(F.col("tf") * 2 >= F.col("records") * 3).select("record", "term")
+    """``record, term``: pairs with 2 tf >= 3 records, by the same statistics.
+
+    Every term is in some record, so pairs of a single occurrence and terms of too many records never qualify
+    and don't reach the join.
+    """
+    pairs = _kept(record_terms(df, record, term, place), "record-terms")
+    stats = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("records"), F.max("tf").alias("most")).where(F.col("most") * 2 >= F.col("records") * 3)
+    terms = _kept(stats.select("term", "records"), "term-statistics")
+    return _join_by(pairs.where("tf >= 2"), terms, "term").where(F.col("tf") * 2 >= F.col("records") * 3).select("record", "term")
 
 
 def top_terms(scored: DataFrame, k: int) -> DataFrame:
