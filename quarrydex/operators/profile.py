@@ -60,15 +60,16 @@ def profile_keys(pairs: DataFrame) -> DataFrame:
     )
 
 
-def heavy_keys(pairs: DataFrame, share: float) -> DataFrame:
+def heavy_keys(df: DataFrame, key: Column, value: Column, share: float) -> DataFrame:
     """Keys holding at least ``share`` of all rows with a key: ``key, n_rows, n_values, mode_weight``.
 
     ``share`` is read as a decimal fraction and compared exactly: rows / total >= share without
-    rounding. The total comes from the same weights as a scalar subquery.
+    rounding. The total is a count of its own, of the key column only: every task sends one number, and
+    the pairs are shuffled once.
     """
     num, den = _fraction(share)
-    keys = profile_keys(pairs).select("key", "n_rows", "n_values", "mode_weight")
-    total = keys.agg(F.sum("n_rows")).scalar()
+    keys = profile_keys(compress_values(df, key, value)).select("key", "n_rows", "n_values", "mode_weight")
+    total = df.select(key.alias("key")).where(F.col("key").isNotNull()).agg(F.count(F.lit(1))).scalar()
     return keys.where(F.col("n_rows") * F.lit(den) >= total * F.lit(num))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrydex.operators.changefeed import live_rows, replay_changes
 from quarrydex.operators.profile import compress_values, heavy_keys, profile_keys, weighted_percentiles
+from quarrydex.session import shared_dir
 from quarrydex.sources.tables import table
 
 HEAVY_SHARE = 0.02
@@ -22,8 +23,8 @@ def _token_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys and terms that hold at least 2 % of their table's rows."""
-    kv = heavy_keys(_kv_pairs(spark, d), HEAVY_SHARE).select(F.lit("kv_log").alias("src"), "key")
-    terms = heavy_keys(_token_pairs(spark, d), HEAVY_SHARE).select(F.lit("tokens").alias("src"), "key")
+    kv = heavy_keys(table(spark, d, "kv_log"), F.col("key"), F.col("value"), HEAVY_SHARE).select(F.lit("kv_log").alias("src"), "key")
+    terms = heavy_keys(table(spark, d, "tokens"), F.col("term"), F.col("pos"), HEAVY_SHARE).select(F.lit("tokens").alias("src"), "key")
     return kv.unionAll(terms)
 
 
@@ -64,12 +65,27 @@ def p2_partial_updates(spark: SparkSession, d: str) -> DataFrame:
     return live_rows(states).select("key", "seq", F.hex("value").alias("value_hex"), "value_seq", "segment")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_profile, p1_term_profile, p1_term_percentiles, p2_found, p2_state, p2_partial_updates)}
+def p2_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same state in two runs: every other change first, then the whole feed, those again, on top of the states of the first run."""
+    log = table(spark, d, "kv_log")
+    args = (["key"], "seq", ["value"], F.col("value").isNull())
+    path = shared_dir(spark, "states")
+    replay_changes(log.where(F.col("log_id") % 2 == 0), *args).write.parquet(path)
+    states = replay_changes(log, *args, applied=spark.read.parquet(path))
+    return states.select("key", "seq", "deleted_seq", F.hex("value").alias("value_hex"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_profile, p1_term_profile, p1_term_percentiles, p2_found, p2_state, p2_resumed, p2_partial_updates)}
 
 _HEAVY = """
 SELECT '{t}' AS src, {k} AS key FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}
 HAVING count(*) * 50 >= (SELECT count(*) FROM {t} WHERE {k} IS NOT NULL)"""
 
+_STATE = """
+WITH c AS (SELECT DISTINCT key, seq, value FROM kv_log WHERE key IS NOT NULL AND seq IS NOT NULL),
+s AS (SELECT key, max(seq) AS seq, max(CASE WHEN value IS NULL THEN seq END) AS deleted_seq FROM c GROUP BY key)
+SELECT s.key, s.seq, deleted_seq, hex(value) AS value_hex FROM s JOIN c ON s.key = c.key AND s.seq = c.seq"""
+
 ORACLE = {
     "p1_found": _HEAVY.format(t="kv_log", k="key") + " UNION ALL " + _HEAVY.format(t="tokens", k="term"),
     "p1_key_profile": """
@@ -88,10 +104,8 @@ SELECT term AS key, fraction, percentile FROM (
     "p2_found": """
 SELECT key, max(seq) AS seq FROM kv_log WHERE key IS NOT NULL AND seq IS NOT NULL GROUP BY key
 HAVING arg_max(value IS NOT NULL, seq)""",
-    "p2_state": """
-WITH c AS (SELECT DISTINCT key, seq, value FROM kv_log WHERE key IS NOT NULL AND seq IS NOT NULL),
-s AS (SELECT key, max(seq) AS seq, max(CASE WHEN value IS NULL THEN seq END) AS deleted_seq FROM c GROUP BY key)
-SELECT s.key, s.seq, deleted_seq, hex(value) AS value_hex FROM s JOIN c ON s.key = c.key AND s.seq = c.seq""",
+    "p2_state": _STATE,
+    "p2_resumed": _STATE,
     "p2_partial_updates": """
 WITH c AS (SELECT key, seq, value, segment_id AS segment FROM kv_log WHERE key IS NOT NULL AND seq IS NOT NULL),
 s AS (SELECT key, max(seq) AS seq, coalesce(max(CASE WHEN value IS NULL THEN seq END), -1) AS gone FROM c GROUP BY key),

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from quarrydex.operators.profile import compress_values, heavy_keys, profile_keys, weighted_percentiles
 
 
+def table(spark, rows, kind="bigint"):
+    return spark.createDataFrame(rows, f"k string, v {kind}").withColumn("key", F.lit("clash")).withColumn("weight", F.lit(7))
+
+
 def pairs(spark, rows, kind="bigint"):
-    df = spark.createDataFrame(rows, f"k string, v {kind}").withColumn("key", F.lit("clash")).withColumn("weight", F.lit(7))
-    return compress_values(df, df.k, df.v)
+    return compress_values(table(spark, rows, kind), F.col("k"), F.col("v"))
+
+
+def heavy(spark, rows, share):
+    return {x.key for x in heavy_keys(table(spark, rows), F.col("k"), F.col("v"), share).collect()}
 
 
 def test_profile_and_percentiles(spark):
@@ -38,14 +45,13 @@ def test_profile_and_percentiles(spark):
 
 def test_heavy(spark):
     rows = [("a", i) for i in range(50)] + [("b", 1)] * 49 + [("c", None)] + [(None, 1)] * 400
-    p = pairs(spark, rows)
-    assert {x.key for x in heavy_keys(p, 0.5).collect()} == {"a"}
-    assert {x.key for x in heavy_keys(p, 0.49).collect()} == {"a", "b"}
-    assert {x.key for x in heavy_keys(p, 0.01).collect()} == {"a", "b", "c"}
+    assert heavy(spark, rows, 0.5) == {"a"}
+    assert heavy(spark, rows, 0.49) == {"a", "b"}
+    assert heavy(spark, rows, 0.01) == {"a", "b", "c"}
 
 
 def test_empty_and_other_types(spark):
-    assert heavy_keys(pairs(spark, []), 0.02).count() == profile_keys(pairs(spark, [])).count() == weighted_percentiles(pairs(spark, []), [0.5]).count() == 0
+    assert len(heavy(spark, [], 0.02)) == profile_keys(pairs(spark, [])).count() == weighted_percentiles(pairs(spark, []), [0.5]).count() == 0
     text = pairs(spark, [("a", "x" * 100_000), ("a", ""), ("a", "")], "string")
     assert profile_keys(text).first().mode == "" and weighted_percentiles(text, [1.0]).first().percentile == "x" * 100_000
     with pytest.raises(ValueError):
