@@ -27,6 +27,11 @@ def search_dated(query: str, postings: DataFrame, doc_dates: DataFrame) -> DataF
     return by_flags(parse(query, dated=True), postings, doc_dates)
 
 
+def difference(kept: DataFrame, removed: DataFrame) -> DataFrame:
+    """Records of one result that aren't in another."""
+    return kept.join(removed.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct()
+
+
 def _in_range(kind: str, doc_dates: DataFrame, a: dt.date, b: dt.date) -> DataFrame:
     return doc_dates.where(range_column(Range(kind, *ordered(a, b)))).select("doc_id").distinct()
 

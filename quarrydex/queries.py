@@ -146,6 +146,12 @@ def bool_scan(spark: SparkSession, d: str) -> DataFrame:
     return by_scan(parse(NESTED), index.analyzed(table(spark, d, "corpus")))
 
 
+@query("SELECT doc_id FROM postings WHERE term = 'run' EXCEPT SELECT doc_id FROM postings WHERE term = 'log'")
+def posting_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Records with one term but not another."""
+    return search.difference(search.search("run", _postings(spark, d)), search.search("log", _postings(spark, d)))
+
+
 @query("SELECT count(*) AS n FROM (SELECT doc_id FROM postings WHERE term = 'run' INTERSECT SELECT doc_id FROM postings WHERE term = 'log')")
 def bitmap_and_count(spark: SparkSession, d: str) -> DataFrame:
     return bitmaps.count_all(bitmaps.pack_postings(_postings(spark, d).where(F.col("term").isin("run", "log"))), ["run", "log"])
