@@ -14,11 +14,14 @@ re-parameterised question.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ TITLED = 0.8
 MAX_WORDS = 1_000_000
 #: Bits of the filter of item windows that is sent to every executor: for each window, at least and at most.
 BITS_EACH, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
-#: Words that a task remembers besides.
-MAX_KNOWN = 500_000
+#: Words that a task remembers besides, and characters of texts that it takes at once.
+MAX_KNOWN, CHARS = 500_000, 2_000_000
 #: Words that are units, and words that are numbers.
 UNITS = "ms s seconds second minutes minute hours hour days day weeks week months month years year bytes byte kb mb gb tb percent km m cm mm kg g"
 NUMBERS = (
@@ -50,11 +53,16 @@ ODD = re.compile(r"[^\x00-\x7f]")
 INSIDE = re.compile(r"(?:(?<=[^\W_][ \u00a0])|(?<=[^\W_][,;][ \u00a0]))[^\W\d_]+")
 
 
+@lru_cache(maxsize=1)
+def format_characters() -> dict[int, None]:
+    """Code points of Unicode category Cf, for deletion."""
+    return {i: None for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf"}
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits, case-folded, without tags and format characters, after NFKC."""
     if ODD.search(text):
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-        text = unicodedata.normalize("NFKC", TAG.sub("", text))
+        text = unicodedata.normalize("NFKC", TAG.sub("", text.translate(format_characters())))
         return WORD.findall(text.casefold())
     return WORD.findall(TAG.sub("", text).lower())
 
@@ -95,14 +103,22 @@ def window_hashes(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def templates(words: list[str], typed: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each window the template's hash, and whether it is a template: else the hash is that of the words."""
-    hashes = window_hashes(np.array([t for t, _ in typed], dtype=np.uint64))
-    literal = np.cumsum([0, *(not slot for _, slot in typed)])
+def templates(words: list[str], canon: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window the template's hash, and whether it is a template (else the hash is that of the words); of each word token and slot.
+
+    Each distinct word is typed once.
+    """
+    d = pc.dictionary_encode(pa.array(words, pa.large_string()))
+    own = d.dictionary.to_pylist()
+    typed = [canon(w) for w in own]
+    at = d.indices.to_numpy()
+    tokens, slots = np.array([t for t, _ in typed], dtype=np.uint64)[at], np.array([s for _, s in typed], dtype=bool)[at]
+    hashes = window_hashes(tokens)
+    literal = np.concatenate([[0], np.cumsum(~slots)])
     enough = literal[WINDOW:] - literal[:-WINDOW] >= MIN_LITERAL
     if not enough.all():
-        hashes = np.where(enough, hashes, ~window_hashes(np.array([_number(w) for w in words], dtype=np.uint64)))
-    return hashes.view(np.int64), enough
+        hashes = np.where(enough, hashes, ~window_hashes(np.array([_number(w) for w in own], dtype=np.uint64)[at]))
+    return hashes.view(np.int64), enough, tokens, slots
 
 
 def filter_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,36 +139,48 @@ SCHEMA = "id bigint, pos int, template bigint, shape string, slots string, words
 def _windows(vocabulary: Broadcast, filter_: Broadcast | None):
     """Windows of the texts in ``(id, text)``, only those whose template the filter may hold."""
 
+    def windows(canon: Canon, bits: np.ndarray | None, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+        """The windows of some texts, all at once."""
+        words: list[str] = []
+        ends = []
+        for text in texts:
+            words += words_of(text) if text else ()
+            ends.append(len(words))
+        if len(words) < WINDOW:
+            return
+        hashes, enough, tokens, slots = templates(words, canon)
+        keep = np.ones(len(hashes), dtype=bool)
+        for end in ends:  # windows that go on into the next text are none
+            keep[max(0, end - WINDOW + 1) : end] = False
+        if bits is not None:
+            first, second = filter_places(hashes, 8 * len(bits))
+            keep &= (bits[first >> 3] >> (first & 7).astype(np.uint8) & bits[second >> 3] >> (second & 7).astype(np.uint8) & 1).astype(bool)
+        rows: list[tuple] = []
+        hits = np.flatnonzero(keep)
+        for p, text in zip(hits.tolist(), np.searchsorted(ends, hits, side="right").tolist()):
+            mine, shape = [], None
+            if enough[p]:
+                at = (np.flatnonzero(slots[p : p + WINDOW]) + p).tolist()
+                mine = [words[i] for i in at]
+                shape = shape_of(mine, tokens[at].tolist())
+            rows.append((ids[text], p - (ends[text - 1] if text else 0), int(hashes[p]), shape, " ".join(mine), " ".join(words[p : p + WINDOW])))
+            if len(rows) > 20_000:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon(vocabulary.value)
         bits = None if filter_ is None else filter_.value
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows: list[tuple] = []
-            for i, text in zip(ids, texts):
-                if not text:
-                    continue
-                words = words_of(text)
-                if len(words) < WINDOW:
-                    continue
-                typed = [canon(w) for w in words]
-                hashes, enough = templates(words, typed)
-                if bits is None:
-                    hits = range(len(hashes))
-                else:
-                    first, second = filter_places(hashes, 8 * len(bits))
-                    on = lambda at: bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-                    hits = np.flatnonzero(on(first) & on(second)).tolist()
-                for p in hits:
-                    run_ = words[p : p + WINDOW]
-                    slots = [(w, t) for w, (t, slot) in zip(run_, typed[p : p + WINDOW]) if slot] if enough[p] else []
-                    own = [w for w, _ in slots]
-                    rows.append((i, p, int(hashes[p]), shape_of(own, [t for _, t in slots]) if enough[p] else None, " ".join(own), " ".join(run_)))
-                    if len(rows) > 20_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
+            a = size = 0
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size > CHARS or i + 1 == len(texts):
+                    yield from windows(canon, bits, ids[a : i + 1], texts[a : i + 1])
+                    a, size = i + 1, 0
 
     return run
 
