@@ -61,6 +61,17 @@ def test_prefix_and_wildcard(spark, tmp_path):
             f(text)
 
 
+def test_wildcards_go_through_stored_kgrams(spark, tmp_path):
+    x = filled(GramIndex(spark, str(tmp_path), max_size=2), F1)
+    x.compact()
+    plan = x.search_wildcard("*oom")._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [" in plan and "LeftSemi" in plan  # grams select terms, terms select postings
+    direct = x.search_wildcard("blo*")._jdf.queryExecution().executedPlan().toString()
+    assert "gram" not in direct and "StringStartsWith(term,blo)" in direct
+    assert ids(x.search_wildcard("*oom")) == [2, 3] == ids(x.search_wildcard("blo*"))
+    assert ids(search.difference(x.search("run OR bloom"), x.search("map"))) == [2, 3]
+
+
 def test_kgrams_equal_like(spark):
     words = ["run", "runner", "red", "retired", "bloom", "oo", "a", "größe", "aaaa", "barn", "urn"]
     postings = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, doc_id bigint")
