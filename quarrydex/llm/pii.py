@@ -14,10 +14,11 @@ names that the lexicon lacks. The documents of an Arrow batch are one field.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrydex.llm.pii_field import AT, KINDS, LABELS, Field
@@ -98,6 +99,17 @@ def fit_model(documents: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) ->
     return learn(texts, lexicon_words, corpus=count_corpus(some, *lexicon_sets(lexicon_words)))
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Stores a fitted model, so that a corpus is learned from once and read by many jobs."""
+    plain = {k: sorted(v) if isinstance(v, frozenset) else v for k, v in model.__getstate__().items()}
+    spark.createDataFrame([(json.dumps(plain),)], "value string").write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    stored = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    return Model(**{k: frozenset(v) if isinstance(v, list) else v for k, v in stored.items()})
+
+
 def count_corpus(documents: DataFrame, given: set[str], family: set[str]) -> Corpus:
     """:func:`corpus_of` for all texts of a table; words that can't change the model stay in the cluster."""
 

@@ -14,6 +14,7 @@ announcing words), so that the rest must do where it is missing.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import numpy as np
 from quarrydex.llm import pii_patterns as P
 from quarrydex.llm.pii_field import AT, LABELS
 from quarrydex.llm.pii_nodes import (
-    MAX_KNOWN, PRIOR, STRENGTHS, TOKEN, WORDS, Model, Span, Tokens, before_family, candidates, features, mails, mask, name_edges, prepare, span_edges, spans_of, street_features, _around,
+    MAX_KNOWN, PRIOR, STRENGTHS, TOKEN, WORDS, Model, Span, Tokens, before_family, candidates, features, mails, mask, name_edges, name_zones, prepare, span_edges, spans_of, street_features, _around,
 )
 
 #: Texts the weights are fitted on, none longer than so many characters.
@@ -31,10 +32,12 @@ SAMPLE, MAX_TEXT = 8_000, 8_000
 PER_TEXTS = 8_000
 #: What is counted of each word of the corpus.
 COUNTS = ("n", "lower", "before", "after", "beside")
+#: A letter by itself in front of what may follow an initial.
+INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_][.'’]")
 #: One in so many common words is an example of what is no name.
 ORDINARY = 8
 #: Weights of an example without announcing words, and without its neighbours.
-WITHOUT, ALONE = 0.3, 1.0
+WITHOUT, ALONE = 0.3, 3.0
 #: Strengths of edges are kept within these bounds.
 WEAKEST, STRONGEST = 0.5, 5.0
 
@@ -47,27 +50,21 @@ def count_words(texts: list[str], given: set[str], family: set[str], into: dict[
     """
     out = defaultdict(lambda: [0] * 5) if into is None else into
     known = given | family
+    with_signs = known | {".", "'", "’"}
+    cased, uncased = Counter(), Counter()
     for text in texts:
         text = mask(text, mails(text)[0])
         found = TOKEN.findall(text)
-        out["", ""][0] += 1
-        cased = not (text.islower() or text.isupper())
-        words = Counter(found)
-        named = "." in words or "'" in words or "’" in words
-        for x, n in words.items():
-            if x.isalpha():
-                w = x.lower()
-                row = out[w, ""]
-                row[0] += n
-                if w == x and cased:
-                    row[1] += n
-                named = named or w in known
-        if not named:
+        (uncased if text.islower() or text.isupper() else cased).update(found)
+        lows = list(map(str.lower, found))
+        marks = with_signs if INITIAL.search(text) else known
+        if marks.isdisjoint(lows):
             continue
-        lows = ["^", "^", "^", *(x.lower() for x in found), "$", "$", "$", "$"]
+        lows = ["^", "^", "^", *lows, "$", "$", "$", "$"]
         followed: dict[int, str] = {}  # places of words in front of a family name, or behind one and a comma
         behind: set[int] = set()  # places of words behind a given name or an initial, or in front of a comma and a given name
-        for j, w in enumerate(lows):
+        for j in [j for j, w in enumerate(lows) if w in marks]:
+            w = lows[j]
             if w in family:
                 if lows[j + 1] == ",":
                     followed.setdefault(j + 2, w)
@@ -91,6 +88,14 @@ def count_words(texts: list[str], given: set[str], family: set[str], into: dict[
         for j in behind:
             if lows[j].isalpha():
                 out[lows[j], ""][3] += 1
+    out["", ""][0] += len(texts)
+    for words in (cased, uncased):
+        for x, n in words.items():
+            if x.isalpha():
+                row = out[x.lower(), ""]
+                row[0] += n
+                if words is cased and x.islower():
+                    row[1] += n
     return out
 
 
@@ -261,8 +266,9 @@ def span_examples(text: str, model: Model, out: Examples) -> str:
 
 
 def name_examples(text: str, rest: str, model: Model, out: Examples, state: list[int]) -> None:
-    """Adds a text's words; ``state`` counts ordinary words over all texts."""
-    t = prepare(rest, model)
+    """Adds a text's words; ``state`` counts ordinary words and texts. Of three texts in four only what is near possible names is read."""
+    state[1] += 1
+    t = prepare(rest, model, name_zones(rest, model) if state[1] % 4 else None)
     before = before_family(t)
     sure, ordinary = person_labels(t, model, before, text.islower())
     nodes = candidates(t, model, before)
@@ -286,7 +292,7 @@ def name_examples(text: str, rest: str, model: Model, out: Examples, state: list
         k = t.kinds[i]
         if y and k:  # as if the lexicon lacked the word, and as if there were none
             t.kinds[i] = ""
-            out.add(sum(features(i, t, model), []), ("person",), label, around, 0.4)
+            out.add(sum(features(i, t, model), []), ("person",), label, (), 0.4)
             t.kinds[i] = k
             out.add(c, ("person",), label, (), 0.2)
         elif not y:
@@ -299,7 +305,7 @@ def learn(texts: list[str], lexicon: list[tuple[str, str]], rounds: int = 60, co
     How frequent a word must be to count as common or plain is a rate, alike at every size.
     """
     model = vocabulary(lexicon, corpus or corpus_of(texts, *lexicon_sets(lexicon)))
-    out, state = Examples(), [0]
+    out, state = Examples(), [0, 0]
     for text in texts:
         name_examples(text, span_examples(text, model, out), model, out, state)
     fit(model, out, rounds)
@@ -317,7 +323,7 @@ def fit(model: Model, examples: Examples, rounds: int) -> None:
     first = [PRIOR[x][f] for x, f in ids]
     kinds = list(STRENGTHS)
     entry_of, feature_of, row_of, is_true, agree, weight, positive = [], [], [], [], [], [], []
-    for row, ((names, labels, label, around), n) in enumerate(sorted(examples.seen.items())):
+    for row, ((names, labels, label, around), n) in enumerate(examples.seen.items()):
         for x in ("", *labels):
             e = len(row_of)
             row_of.append(row)

@@ -281,19 +281,26 @@ def prepare(text: str, model: Model, zones: list[tuple[int, int]] | None = None)
 
 
 def name_zones(text: str, model: Model) -> list[tuple[int, int]]:
-    """Parts of the text within REACH words of one that isn't ordinary: most texts hold few such words or none."""
+    """Parts of the text within REACH words of one that isn't ordinary: most texts hold few such words or none.
+
+    In a text that has capitals, a plain word in small letters is ordinary too, unless another word brings it in.
+    """
     low = text.lower()
     known = set(FREE_WORDS.findall(low))
     rare = known - model.ordinary
     if not rare:
         return []
+    small = frozenset() if low == text else model.plain
+    if rare <= small and not any(w.title() in text or w.upper() in text for w in rare):
+        return []
     if len(low) != len(text) or 10 * len(rare) > len(known):
         return [(0, len(text))]
     at = []
     for w in rare:  # also inside longer words, which does no harm
         i = low.find(w)
         while i >= 0:
-            at.append((i, i + len(w)))
+            if w not in small or text[i].isupper():
+                at.append((i, i + len(w)))
             i = low.find(w, i + len(w))
     out: list[tuple[int, int]] = []
     for i, j in sorted(at):

@@ -207,6 +207,14 @@ def test_fit_on_a_table(spark):
     assert pii.find_all("ask Jonas, a@b.org", empty) == [(11, 18, "email")]
 
 
+def test_stored_model(spark, model, tmp_path):
+    pii.save_model(spark, model, str(tmp_path / "model"))
+    again = pii.load_model(spark, str(tmp_path / "model"))
+    assert again == model
+    some = [t for t, _ in texts(8, 20, GIVEN, FAMILY)]
+    assert pii.find_in(some, again) == pii.find_in(some, model)
+
+
 def test_counts_cover_all_documents(spark):
     """What the lexicon lacks and what is common is counted over all documents, not over the sample."""
     own = [t for t, _ in texts(4, 300, GIVEN[:8], FAMILY)] + [t for t, _ in texts(5, 40, GIVEN[8:], FAMILY)]
