@@ -107,6 +107,24 @@ def test_two_writers(spark, tmp_path):
     assert not x._publish(stale) and terms(x) == ["x", "y", "z"]  # its number is taken
 
 
+def test_publishing_by_rename(spark, tmp_path):
+    """Other file systems than the local one rename without replacing."""
+
+    class Elsewhere:
+        def toUri(self):
+            return self
+
+        def getScheme(self):
+            return "hdfs"
+
+    s = fresh(spark, tmp_path)
+    s._root = Elsewhere()
+    assert s.append(one(spark, "a")) == 0 and s.append(one(spark, "b")) == 1
+    taken = s.manifest()
+    assert not s._publish(taken) and terms(s) == ["a", "b"]
+    assert not [f for f in (tmp_path / "manifests").iterdir() if f.name.endswith(".tmp")]
+
+
 def test_many_threads(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
@@ -129,10 +147,10 @@ def test_result_held_across_compaction(spark, tmp_path):
 
 def test_levels_stay_bounded(spark, tmp_path):
     x = BooleanIndex(spark, str(tmp_path), max_size=1)
-    for i in range(20):
+    for i in range(16):
         x.add_document(i, f"word{i} shared")
     assert 2 <= len(x.store.segments()) <= FAN + 2 and {s["level"] for s in x.store.segments()} <= {0, 1}
-    assert sorted(r.doc_id for r in x.search("shared OR word3").collect()) == list(range(20))
+    assert sorted(r.doc_id for r in x.search("shared OR word3").collect()) == list(range(16))
 
 
 def test_stream_into_a_filled_index(spark, tmp_path):
