@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quarrydex.session import shared_dir
 from quarrydex.sources.tables import table
 
 HEAVY_SHARE = 0.02
+FIRST_RUN = dt.datetime(2025, 3, 16)
 
 
 def _kv_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -66,11 +69,11 @@ def p2_partial_updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_resumed(spark: SparkSession, d: str) -> DataFrame:
-    """The same state in two runs: every other change first, then the whole feed, those again, on top of the states of the first run."""
+    """The same state in two runs: what had arrived by a day first, then the whole feed, those changes again, on top of the states of the first run."""
     log = table(spark, d, "kv_log")
     args = (["key"], "seq", ["value"], F.col("value").isNull())
     path = shared_dir(spark, "states")
-    replay_changes(log.where(F.col("log_id") % 2 == 0), *args).write.parquet(path)
+    replay_changes(log.where(F.col("arrived_at") < F.lit(FIRST_RUN)), *args).write.parquet(path)
     states = replay_changes(log, *args, applied=spark.read.parquet(path))
     return states.select("key", "seq", "deleted_seq", F.hex("value").alias("value_hex"))
 
