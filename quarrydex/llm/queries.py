@@ -221,6 +221,16 @@ n AS (SELECT sum(tf) AS n FROM p),
 m AS (SELECT p.*, records, (tf + 100.0::DOUBLE * (cf / n)) / (length + 100.0::DOUBLE) AS pd, cf / n AS pc FROM p JOIN c USING (term) JOIN l USING (doc_id), n WHERE records >= 2),
 s AS (SELECT doc_id, term, tf, records, round(pd * ln(pd / pc), 6) AS score FROM m)"""
 
+# DuckDB has no compatibility forms; those of full width, common ligatures and the sharp s are folded by hand.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_FOLDED = """regexp_replace(regexp_replace(text, '\\p{Cf}', '', 'g'), '<[^<>]*>', '', 'g')"""
+for _from, _to in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ß", "ss")):
+    _FOLDED = f"replace({_FOLDED}, '{_from}', '{_to}')"
+_P6 = f"""
+s AS (SELECT true AS doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM eval_items),
+w AS (SELECT doc, id, regexp_extract_all(lower(translate({_FOLDED}, '{_WIDE[0]}', '{_WIDE[1]}')), '[\\p{{L}}\\p{{N}}]+') AS w FROM s WHERE id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc, id, list_slice(w, i, i + 11)::VARCHAR AS words FROM (SELECT doc, id, w, unnest(range(1, len(w) - 10)) AS i FROM w))"""
+
 # Words and signs stand for tokens: any usual tokenizer gives the same list of sources.
 _P7 = """
 d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n FROM documents),
@@ -228,6 +238,7 @@ z AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(n), 0) AS siz
 q AS (SELECT source, target_share, size * max_repeats < target_share * (SELECT sum(size) FROM z) AS short FROM z)"""
 
 ORACLE = {
+    "p6_found": f"WITH {_P6} SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.words = i.words WHERE d.doc AND NOT i.doc",
     "p7_found": f"WITH {_P7} SELECT source FROM q WHERE short",
     "p7_quotas": f"WITH {_P7} SELECT source, target_share, short, true AS within FROM q",
     "p3_found": f"WITH {_P3} SELECT probe_id FROM a WHERE seen",
