@@ -57,7 +57,8 @@ def count_words(texts: list[str], given: set[str], family: set[str], into: dict[
         found = TOKEN.findall(text)
         (uncased if text.islower() or text.isupper() else cased).update(found)
         lows = list(map(str.lower, found))
-        marks = with_signs if INITIAL.search(text) else known
+        single = [x for x in set(lows) if len(x) == 1 and x.isalpha()]
+        marks = with_signs if single and INITIAL.search(text) else known
         if marks.isdisjoint(lows):
             continue
         lows = ["^", "^", "^", *lows, "$", "$", "$", "$"]

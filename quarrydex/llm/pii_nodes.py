@@ -129,21 +129,22 @@ def _around(text: str, a: int, b: int) -> tuple[list[str], frozenset[str]]:
 def streets(text: str) -> Iterator[tuple[int, int, int]]:
     """``(form, start, end)`` of places shaped like a street and a house number."""
     for m in P.DIGITS.finditer(text):
-        i = m.start()
-        if m.end() - i > 4:
+        i, j = m.span()
+        if j - i > 4:
             continue
-        before = text[i - 1] if i else ""
-        if not (before.isalnum() or before and before in "_.,/:-"):
+        before, after = text[i - 1 : i], text[j : j + 1]
+        if (after in _BLANKS or after == "," or after.isalpha()) and not (before.isalnum() or before and before in "_.,/:-"):
             for form in (0, 1):
                 if hit := P.ADDRESS[form].match(text, i):
                     yield form, i, hit.end()
-        if before in (" ", " ") and (number := P.HOUSE_NUMBER.match(text, i)):
-            stop = len(text[max(0, i - 80) : i].rstrip("  ")) + max(0, i - 80)
+        if before in _BLANKS:
+            stop = i
+            while stop and text[stop - 1] in _BLANKS:
+                stop -= 1
             low = text[max(0, stop - 12) : stop].lower()
-            tails = [t for t in P.STREET_TAILS if low.endswith(t)]
-            if tails:
+            if low.endswith(P.STREET_TAILS) and (number := P.HOUSE_NUMBER.match(text, i)):
                 # The name is read backwards from its street word.
-                a = at = stop - max(map(len, tails))
+                a = at = stop - max(len(t) for t in P.STREET_TAILS if low.endswith(t))
                 while a and (text[a - 1].isalpha() or text[a - 1] == "-" and a > 1 and text[a - 2].isalpha()):
                     a -= 1
                 if a < at and not (a and (text[a - 1].isalnum() or text[a - 1] in "_-")):
